@@ -30,7 +30,7 @@ from ._text import mix
 
 MAGIC = b"SLTOKEN1"
 END_ID = 2
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_GOLD = 0x9E3779B97F4A7C15
 
 
 class PerfectHash:
@@ -47,7 +47,7 @@ class PerfectHash:
 
     @staticmethod
     def _place(keys: np.ndarray, level: int, words: int) -> np.ndarray:
-        return (mix(keys + _GOLD * np.uint64(level + 1)) % np.uint64(words * 64)).astype(np.int64)
+        return (mix(keys + np.uint64(_GOLD * (level + 1) % (1 << 64))) % np.uint64(words * 64)).astype(np.int64)
 
     @classmethod
     def build(cls, keys: np.ndarray, room: float = 2.0) -> PerfectHash:
@@ -248,7 +248,7 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     ranges = manifest.select("path", "first_id", "last_id")
     hits = keys.select(F.col("doc_id").cast("long").alias("doc_id")).join(ranges, F.col("doc_id").between(F.col("first_id"), F.coalesce("last_id", F.lit((1 << 63) - 1))))
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         shard = Shard(get_file(key[0].as_py()))
         wanted = table.column("doc_id").to_pylist()
         found = [shard.get(k) for k in wanted]
