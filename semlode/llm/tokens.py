@@ -14,10 +14,13 @@ tables give no shards.  A task holds one shard (`shard_ids` ids, or one longer d
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import get_file, materialize, new_path, put_file
-from ._text import mix
+from ._text import buffers, chunks, mix
 
 MAGIC = b"SLTOKEN1"
 END_ID = 2
@@ -135,36 +138,90 @@ class Encoder:
     """A byte-level BPE tokenizer, with the ids of pieces of text remembered.
 
     This kind of tokenizer starts a new piece at every single space that follows another character, so
-    a text without double spaces and special tokens is the concatenation of its pieces; a piece is
-    encoded by the library once while it is remembered.  Other texts go to the library whole.
+    a text without double spaces and special tokens is the concatenation of its pieces, and pieces can
+    be joined again in any order.  New pieces of several texts are encoded by the library as one text and
+    cut before the ids that begin with a space.  Other texts go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
+        # Spark gives each worker one core; the library's own threads would only contend for it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and self.tokenizer.normalizer is None
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {"": b""}
+        self.marks = {c: self._library(c).tobytes() for c in ",."}
         self.most = most
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in found]
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
 
-    def encode(self, text: str) -> bytes:
-        if not self.plain or "  " in text or any(s in text for s in self.special):
-            return self._library([text])[0]
-        head, *pieces = text.split(" ")
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember pieces that follow a space; when full, the half that came first (the most common) stays."""
         known = self.known
-        new = [p for p in set(pieces) if p not in known]
+        if len(known) > self.most:
+            self.known = known = dict(islice(known.items(), self.most // 2))
+        # A letter and a comma or full stop after it never share an id, so a known word gives its marked form.
+        stems = {p: known.get(p[:-1]) for p in pieces if p[-1:] in self.marks and p[-2:-1].isalpha()}
+        known.update((p, ids + self.marks[p[-1]]) for p, ids in stems.items() if ids is not None)
+        rest = [p for p in pieces if stems.get(p) is None and p not in known]
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            ids = self._library(" " + " ".join(part))
+            ends = (np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * self.width).tolist()
+            if len(ends) != len(part) + 1:
+                raise ValueError("pieces and ids don't correspond")
+            raw = ids.tobytes()
+            known.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])]))
+
+    def _first(self, pieces: list[str]) -> None:
+        """Remember pieces that begin a text."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self.heads]
+        if len(self.heads) > self.most // 4:
+            self.heads, new = {"": b""}, list(dict.fromkeys(pieces))
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.heads.update((p, np.array(e.ids, dtype=f"<u{self.width}").tobytes()) for p, e in zip(new, found))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        work: list[tuple | None] = []
+        get, new = self.known.get, []
+        for t in texts:
+            if not self.plain or "  " in t or any(s in t for s in self.special):
+                work.append(None)
+                continue
+            head, *pieces = t.split(" ")
+            got = list(map(get, pieces))
+            open_ = [i for i, g in enumerate(got) if g is None] if None in got else []
+            new += [pieces[i] for i in open_]
+            work.append((head, pieces, got, open_))
         if new:
-            if len(known) > self.most:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, self._library([" " + p for p in new])))
-        return (self._library([head])[0] if head else b"") + b"".join(map(known.__getitem__, pieces))
+            self._learn(list(dict.fromkeys(new)))
+        self._first([w[0] for w in work if w])
+        out = []
+        for t, w in zip(texts, work):
+            if w is None:
+                out.append(self._library(t).tobytes())
+                continue
+            head, pieces, got, open_ = w
+            for i in open_:
+                got[i] = self.known[pieces[i]]
+            out.append(self.heads[head] + b"".join(got))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path)
 
 
 MANIFEST = "path string, part int, seq int, docs long, ids long, bytes long, first_id long, last_id long"
@@ -183,7 +240,7 @@ def write(docs: DataFrame, tokenizer_path: str, *, partitions: int | None = None
     names = [x.split()[0] for x in MANIFEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(tokenizer_path), TaskContext.get().partitionId()
         end = np.array([end_id], dtype=f"<u{encoder.width}").tobytes()
         keys: list = []
         parts: list[bytes] = []
@@ -200,13 +257,16 @@ def write(docs: DataFrame, tokenizer_path: str, *, partitions: int | None = None
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 5])], names)
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
-                if keys and held + len(ids) > shard_ids * encoder.width:
-                    yield flush()
-                keys.append(key)
-                parts.append(ids)
-                held += len(ids)
+            _, offsets = buffers(batch.column(1))
+            for i, j in chunks(offsets, 1 << 19):
+                texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
+                for key, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encoder.encode_many(texts)):
+                    ids += end
+                    if keys and held + len(ids) > shard_ids * encoder.width:
+                        yield flush()
+                    keys.append(key)
+                    parts.append(ids)
+                    held += len(ids)
         if keys:
             yield flush()
 
