@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -112,3 +113,13 @@ def merge_blocks(df: DataFrame, dtype: str, total: int, rows: int, how: str) ->
 def small_or_shuffled(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
     """Ask for a broadcast only where the counted rows are within the limit."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results have been written.
+
+    It does so when the driver's garbage collector finds their lineage unreachable, which with a quiet
+    driver may be long after; an operator of many steps would keep the files of all of them until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
