@@ -48,17 +48,16 @@ def paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
         "tree", "node", F.when(F.col("known"), F.col("parent")).alias("ptr"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total")
     )
     state = materialize(first, "chat-jump")
+    # A message that has reached its root is done; only the others are joined again.
+    active, done = state.where("ptr IS NOT NULL"), state.where("ptr IS NULL")
     jumps = []
-    while 2 ** len(jumps) <= max(n, 1) and not state.where("ptr IS NOT NULL").isEmpty():
-        jumps.append(state.select("tree", "node", "ptr").where("ptr IS NOT NULL"))
-        above = state.select("tree", F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        state = materialize(
-            state.join(above, ["tree", "ptr"], "left").select(
-                "tree", "node", F.col("ptr2").alias("ptr"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")
-            ),
-            "chat-jump",
-        )
-    leaves = state.where("ptr IS NULL").join(nodes.select("tree", F.col("parent").alias("node")).where("node IS NOT NULL").distinct(), ["tree", "node"], "left_anti")
+    while 2 ** len(jumps) <= max(n, 1) and not active.isEmpty():
+        jumps.append(active.select("tree", "node", "ptr"))
+        above = active.unionByName(done).select("tree", F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        met = active.join(above, ["tree", "ptr"])
+        moved = materialize(met.select("tree", "node", F.col("ptr2").alias("ptr"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total")), "chat-jump")
+        active, done = moved.where("ptr IS NOT NULL"), done.unionByName(moved.where("ptr IS NULL"))
+    leaves = done.join(nodes.select("tree", F.col("parent").alias("node")).where("node IS NOT NULL").distinct(), ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= keep)
     out = materialize(chosen.select("tree", F.col("node").alias("leaf"), "branch", "node", F.lit(0).cast("long").alias("up")), "chat-path")
