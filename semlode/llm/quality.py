@@ -161,7 +161,12 @@ def _lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 4
     n, k = z.shape
     w, b = np.zeros(k), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     vw, vb, t = w.copy(), b, 1.0
-    rate = 4.0 * n / max(1.0, np.linalg.norm(z, 2) ** 2 + n) if k else 1.0
+    top, u = 0.0, np.ones(k)
+    for _ in range(30 if k else 0):  # the largest eigenvalue, without a copy of z
+        u = z.T @ (z @ u)
+        top = float(np.linalg.norm(u))
+        u = u / max(top, 1e-30)
+    rate = 4.0 * n / max(1.0, 1.1 * top + n)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(z @ vw + vb)))
         gw, gb = z.T @ (p - y) / n, (p - y).mean()
@@ -193,7 +198,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, penalt
             if on.any():
                 score[on] += 0.3 * grad[on].mean()
     kept = list(rules)
-    z = np.stack([_holds(x, r) for r in kept], axis=1).astype(float) if kept else np.zeros((len(y), 0))
+    z = np.stack([_holds(x, r) for r in kept], axis=1).astype(np.float32) if kept else np.zeros((len(y), 0), np.float32)
     # A rule that holds for the same rows as an earlier one adds nothing.
     _, first = np.unique(z.astype(np.uint8), axis=1, return_index=True)
     kept, z = [kept[i] for i in sorted(first)], z[:, sorted(first)]
@@ -217,7 +222,7 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = 3, fold: int = 1, max_rows: int = 20_000, **options) -> Ensemble:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = 3, fold: int = 1, max_rows: int = 6_000, **options) -> Ensemble:
     """Learn from labelled rows outside the held-out fold, max_rows of them at most, in the order of a hash of the id."""
     usable = labels.select(F.col("doc_id").alias("l_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("l_id").isNotNull() & ~held_out(F.col("l_id"), folds, fold))
     chosen = usable.orderBy(F.xxhash64("l_id"), "l_id", "y").limit(max_rows)
