@@ -58,9 +58,10 @@ def own_license(files: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     spark = files.sparkSession
     whole = F.coalesce(F.regexp_like("path", F.lit(LICENSE_FILE)), F.lit(False))
     said = files.select("file", "path", F.when(whole, F.split("text", "\n")).otherwise(F.split(header_lines(F.col("text")), "\n")).alias("lines"))
-    said = materialize(said.select("file", "path", F.explode("lines").alias("line")).where(F.col("line") != ""), "license-lines")
-    lines = said.select("line").groupBy("line").agg(F.count(F.lit(1)).alias("files"))
-    terms = lines.select("line", "files", F.explode(words(F.col("line"))).alias("word")).groupBy("line", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("files").alias("files"))
+    said = materialize(said.select("file", "path", F.explode("lines").alias("said")).where(F.col("said") != "").withColumn("line", F.unhex(F.md5("said"))), "license-lines")
+    # From here on a line is known by its digest.
+    lines = said.groupBy("line").agg(F.count(F.lit(1)).alias("files"), F.first("said").alias("said"))
+    terms = lines.select("line", "files", F.explode(words(F.col("said"))).alias("word")).groupBy("line", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("files").alias("files"))
     terms = materialize(terms, "license-terms")
     of_template = template_table(spark, templates).select("license", F.explode(words(F.col("body"))).alias("word")).groupBy("license", "word").agg(F.count(F.lit(1)).alias("tf"))
     total = lines.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("n")).first()["n"] + len(templates)
