@@ -95,17 +95,19 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def with_statistics(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """docs with a column `stats` (struct of STATS); carry: the other columns to keep (all that docs has)."""
     carry = carry if carry is not None else [c for c in docs.columns if c != "stats"]
-    kept = docs.select(*[docs[c] for c in carry], docs["text"].alias("__text"))
+    extra = [] if "text" in carry else [docs["text"].alias("__text")]
+    kept = docs.select(*[docs[c] for c in carry], *extra)
+    text, width = carry.index("text") if "text" in carry else len(carry), len(carry)
     schema = docs.select(*carry).schema.add("stats", T.StructType([T.StructField(s, T.DoubleType()) for s in STATS]))
     kind = pa.struct([pa.field(s, pa.float64()) for s in STATS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(batch.num_columns - 1))
+            data, offsets = buffers(batch.column(text))
             parts = [statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets)]
             values = np.concatenate(parts) if parts else np.zeros((0, len(STATS)))
             stats = pa.StructArray.from_arrays([pa.array(values[:, k]) for k in range(len(STATS))], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], stats], [*batch.schema.names[:-1], "stats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], stats], [*batch.schema.names[:width], "stats"])
 
     return kept.mapInArrow(run, schema)
 
