@@ -161,9 +161,10 @@ def _holds(x: np.ndarray, rule: Rule) -> np.ndarray:
 def _lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
     """Proximal gradient with momentum; the bias is not penalised."""
     n, k = z.shape
-    w, b = np.zeros(k), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
+    y = y.astype(np.float32)
+    w, b = np.zeros(k, np.float32), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     vw, vb, t = w.copy(), b, 1.0
-    top, u = 0.0, np.ones(k)
+    top, u = 0.0, np.ones(k, np.float32)
     for _ in range(30 if k else 0):  # the largest eigenvalue, without a copy of z
         u = z.T @ (z @ u)
         top = float(np.linalg.norm(u))
@@ -176,8 +177,9 @@ def _lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 4
         nw = np.sign(nw) * np.maximum(np.abs(nw) - rate * penalty, 0)
         nb = vb - rate * gb
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
-        w, b, t = nw, nb, nt
+        push = float((t - 1) / nt)
+        vw, vb = (nw + push * (nw - w)).astype(np.float32), nb + push * (nb - b)
+        w, b, t = nw.astype(np.float32), nb, nt
     return w, b
 
 
@@ -199,24 +201,30 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, penalt
             on = _holds(x, r)
             if on.any():
                 score[on] += 0.3 * grad[on].mean()
-    kept = list(rules)
-    z = np.stack([_holds(x, r) for r in kept], axis=1).astype(np.float32) if kept else np.zeros((len(y), 0), np.float32)
     # A rule that holds for the same rows as an earlier one adds nothing.
-    _, first = np.unique(z.astype(np.uint8), axis=1, return_index=True)
-    kept, z = [kept[i] for i in sorted(first)], z[:, sorted(first)]
+    seen: dict[bytes, Rule] = {}
+    for r in rules:
+        seen.setdefault(np.packbits(_holds(x, r)).tobytes(), r)
+    kept = list(seen.values())
+    z = np.empty((len(y), len(kept)), dtype=np.float32)
+    for k, r in enumerate(kept):
+        z[:, k] = _holds(x, r)
     w, b = _lasso_logistic(z, y, penalty)
     return Ensemble([r for r, v in zip(kept, w) if v], [float(v) for v in w if v], float(b))
 
 
 def score_column(model: Ensemble, stats: str = "stats") -> Column:
     """The ensemble as a column expression over the statistics."""
-    total = F.lit(model.bias)
+    terms = [F.lit(model.bias)]
     for rule, weight in zip(model.rules, model.weights):
         holds = F.lit(True)
         for c, above, bound in rule:
             value = F.col(f"{stats}.{STATS[c]}")
             holds = holds & ((value > F.lit(bound)) if above else (value <= F.lit(bound)))
-        total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
+        terms.append(F.when(holds, F.lit(weight)).otherwise(F.lit(0.0)))
+    while len(terms) > 1:  # a balanced sum keeps the expression shallow
+        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    total = terms[0]
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -224,7 +232,7 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = 3, fold: int = 1, max_rows: int = 6_000, **options) -> Ensemble:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = 3, fold: int = 1, max_rows: int = 20_000, **options) -> Ensemble:
     """Learn from labelled rows outside the held-out fold, max_rows of them at most, in the order of a hash of the id."""
     usable = labels.select(F.col("doc_id").alias("l_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("l_id").isNotNull() & ~held_out(F.col("l_id"), folds, fold))
     chosen = usable.orderBy(F.xxhash64("l_id"), "l_id", "y").limit(max_rows)
