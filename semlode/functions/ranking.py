@@ -24,7 +24,7 @@ def popularity(stars: Column, downloads: Column, dependents: Column, sourcerank:
 def recency(when: Column, as_of: Column) -> Column:
     """exp(-age in days / 180); 0 without a time, 1 for the future."""
     days = F.greatest((F.unix_micros(as_of) - F.unix_micros(when)) / 86_400_000_000.0, F.lit(0.0))
-    return F.coalesce(F.exp(-days / DECAY_DAYS), F.lit(0.0))
+    return F.when(when.isNull(), F.lit(0.0)).otherwise(F.exp(-days / DECAY_DAYS))
 
 
 def blend(relevance: Column, popular: Column, recent: Column, alpha: float = 0.75, beta: float = 0.15, delta: float = 0.10) -> Column:
