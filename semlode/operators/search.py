@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import Settings
 from ..functions import ranking as R
@@ -36,15 +38,21 @@ def payload_filter(min_stars: int | None = None, license: str | None = None, req
     return reduce(lambda a, b: a & b, given, F.lit(True))
 
 
+def searchable(corpus: DataFrame, where: Column | None) -> DataFrame:
+    pool = corpus if where is None else corpus.where(where)
+    return pool.where(F.col("id").isNotNull() & F.col("vector").isNotNull())
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = 50, where: Column | None = None) -> DataFrame:
     """Exact cosine top k: queries (qid, vector), corpus (id, vector) to qid, id, score, rank.
 
     The filter is applied before the search.  Only ids and vectors take part; up to MOST_QUERIES are sent to
-    every task, more than that go in blocks (nearest_blocked); each task passes on k rows a query.
+    every task, more than that go in blocks (nearest_blocked); each task passes on k rows a query.  Rows
+    without an id or a vector are not searched.
     """
     if queries.select("qid").limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
         return nearest_blocked(queries, corpus, k, where)
-    pool = corpus if where is None else corpus.where(where)
+    pool = searchable(corpus, where)
     pairs = pool.select("id", F.col("vector").alias("v")).crossJoin(F.broadcast(queries.select("qid", F.col("vector").alias("q"))))
     scored = pairs.select("qid", "id", V.dot(F.col("v"), F.col("q")).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
@@ -56,25 +64,31 @@ def nearest_blocked(queries: DataFrame, corpus: DataFrame, k: int = 50, where: C
 
     Each task keeps k rows a query, so what is shuffled does not grow with the corpus but with tasks.
     """
-    pool = (corpus if where is None else corpus.where(where)).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
+    pool = searchable(corpus, where).select("id", F.col("vector").cast("array<float>").alias("vector"))
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", pool.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    kinds = to_arrow_schema(schema)
     parts, rows = [], []
 
     def search(rows: list) -> DataFrame:
-        ids, matrix = np.array([r["qid"] for r in rows], dtype=np.int64), np.array([r["vector"] for r in rows], dtype=np.float64)
+        ids, matrix = pa.array([r["qid"] for r in rows], kinds.field(0).type), np.array([r["vector"] for r in rows], dtype=np.float64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_s, best_i = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), dtype=np.int64)
+            best_s = best_i = None
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-                best_s = np.hstack([best_s, matrix @ vectors.T])
-                best_i = np.hstack([best_i, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))])
+                names = batch.column(0).to_numpy(zero_copy_only=False)
+                names = np.broadcast_to(names.astype(str) if names.dtype == object else names, (len(ids), batch.num_rows))
+                scores = matrix @ vectors.T
+                best_s, best_i = (scores, names) if best_s is None else (np.hstack([best_s, scores]), np.hstack([best_i, names]))
                 order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
                 best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], ["qid", "id", "score"])
+            if best_s is not None:
+                each = pa.array(np.repeat(np.arange(len(ids)), best_s.shape[1]))
+                yield pa.RecordBatch.from_arrays([ids.take(each), pa.array(best_i.ravel(), kinds.field(1).type), pa.array(best_s.ravel())], kinds.names)
 
-        return pool.mapInArrow(run, "qid long, id long, score double")
+        return pool.mapInArrow(run, schema)
 
     for row in queries.select("qid", "vector").toLocalIterator():
         rows.append(row)
@@ -82,7 +96,7 @@ def nearest_blocked(queries: DataFrame, corpus: DataFrame, k: int = 50, where: C
             parts.append(search(rows))
             rows = []
     if rows or not parts:
-        parts.append(search(rows) if rows else corpus.sparkSession.createDataFrame([], "qid long, id long, score double"))
+        parts.append(search(rows) if rows else corpus.sparkSession.createDataFrame([], schema))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
