@@ -98,8 +98,8 @@ def with_statistics(docs: DataFrame, carry: list[str] | None = None) -> DataFram
     extra = [] if "text" in carry else [docs["text"].alias("__text")]
     kept = docs.select(*[docs[c] for c in carry], *extra)
     text, width = carry.index("text") if "text" in carry else len(carry), len(carry)
-    schema = docs.select(*carry).schema.add("stats", T.StructType([T.StructField(s, T.DoubleType()) for s in STATS]))
-    kind = pa.struct([pa.field(s, pa.float64()) for s in STATS])
+    schema = docs.select(*carry).schema.add("stats", T.StructType([T.StructField(s, T.DoubleType(), False) for s in STATS]), False)
+    kind = pa.struct([pa.field(s, pa.float64(), False) for s in STATS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,19 +213,36 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, penalt
     return Ensemble([r for r, v in zip(kept, w) if v], [float(v) for v in w if v], float(b))
 
 
+def _tree_sum(terms: list[Column]) -> Column:
+    """A balanced sum keeps the expression shallow."""
+    while len(terms) > 1:
+        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    return terms[0] if terms else F.lit(0.0)
+
+
 def score_column(model: Ensemble, stats: str = "stats") -> Column:
-    """The ensemble as a column expression over the statistics."""
-    terms = [F.lit(model.bias)]
+    """The ensemble as a column expression over the statistics.
+
+    Rules that begin with the same test share it, and a test decides for the rules of both its sides, so
+    that the code Spark generates stays within the size of a compiled method.
+    """
+    root: dict = {"weight": model.bias, "tests": {}}
     for rule, weight in zip(model.rules, model.weights):
-        holds = F.lit(True)
+        node = root
         for c, above, bound in rule:
-            value = F.col(f"{stats}.{STATS[c]}")
-            holds = holds & ((value > F.lit(bound)) if above else (value <= F.lit(bound)))
-        terms.append(F.when(holds, F.lit(weight)).otherwise(F.lit(0.0)))
-    while len(terms) > 1:  # a balanced sum keeps the expression shallow
-        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
-    total = terms[0]
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+            sides = node["tests"].setdefault((c, bound), {})
+            node = sides.setdefault(above, {"weight": 0.0, "tests": {}})
+        node["weight"] += weight
+
+    def value(node: dict | None) -> Column:
+        if node is None:
+            return F.lit(0.0)
+        terms = [F.lit(node["weight"])] if node["weight"] else []
+        for (c, bound), sides in node["tests"].items():
+            terms.append(F.call_function("if", F.col(f"{stats}.{STATS[c]}") > F.lit(bound), value(sides.get(True)), value(sides.get(False))))
+        return _tree_sum(terms)
+
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-value(root)))
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

@@ -39,3 +39,26 @@ def test_odd_rows(spark, small, odd, empty):
     assert quality.classify(empty, labels).count() == 0
     kept = quality.keep_good(odd, labels)
     assert kept.columns == odd.columns and kept.count() <= odd.count()
+
+
+def test_rules_as_one_compiled_expression(spark):
+    """Hundreds of rules give the sum of their weights, in code that compiles (no fallback to interpretation)."""
+    rng = np.random.default_rng(8)
+    k = len(quality.STATS)
+    x = rng.random((50, k)).round(3)
+    rules = {}
+    for _ in range(120):
+        path = tuple((int(rng.integers(k)), bool(rng.integers(2)), round(float(rng.random()), 3)) for _ in range(3))
+        other = (*path[:1], (path[1][0], not path[1][1], path[1][2]))
+        rules |= dict.fromkeys([path[:1], path[:2], path, other])
+    model = quality.Ensemble(list(rules), rng.normal(0, 0.1, len(rules)).tolist(), 0.3)
+    on = np.stack([quality._holds(x, r) for r in model.rules], axis=1)
+    want = 1 / (1 + np.exp(-(on @ np.array(model.weights) + model.bias)))
+    fields = ", ".join(f"{s}: double" for s in quality.STATS)
+    df = spark.createDataFrame([(i, tuple(map(float, row))) for i, row in enumerate(x)], f"i int, stats struct<{fields}>")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        got = {r["i"]: r["score"] for r in df.repartition(2).withColumn("score", quality.score_column(model)).where("score >= 0").collect()}
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert np.allclose([got[i] for i in range(len(x))], want)
