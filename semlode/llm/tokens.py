@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -34,6 +35,8 @@ from ._text import buffers, chunks, mix
 MAGIC = b"SLTOKEN1"
 END_ID = 2
 _GOLD = 0x9E3779B97F4A7C15
+#: A space in white space that the tokenizer may give to the piece before it.
+_RUN = re.compile(r"\s (?:\s|\Z)")
 
 
 class PerfectHash:
@@ -137,10 +140,11 @@ class Shard:
 class Encoder:
     """A byte-level BPE tokenizer, with the ids of pieces of text remembered.
 
-    This kind of tokenizer starts a new piece at every single space that follows another character, so
-    a text without double spaces and special tokens is the concatenation of its pieces, and pieces can
-    be joined again in any order.  New pieces of several texts are encoded by the library as one text and
-    cut before the ids that begin with a space.  Other texts go to the library whole.
+    This kind of tokenizer starts a new piece at every single space, unless other white space stands
+    before it and white space or the end after it.  A text without such places, double spaces and special
+    tokens is the concatenation of its pieces.  Pieces without white space at their ends can be joined
+    again in any order: new ones of several texts are encoded by the library as one text and cut before
+    the ids that begin with a space, the rest one by one.  Other texts go to the library whole.
     """
 
     def __init__(self, path: str, most: int = 700_000) -> None:
@@ -156,6 +160,7 @@ class Encoder:
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.known: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {"": b""}
+        self.tails: dict[str, bytes] = {}  # pieces that end in white space: never in known, so that encode_many looks at their texts
         self.marks = {c: self._library(c).tobytes() for c in ",."}
         self.most = most
 
@@ -167,6 +172,14 @@ class Encoder:
         known = self.known
         if len(known) > self.most:
             self.known = known = dict(islice(known.items(), self.most // 2))
+        alone = [p for p in pieces if p != p.strip()] + [""] * ("" in pieces)
+        if alone:
+            if len(self.tails) > self.most // 4:
+                self.tails = {}
+            found = self.tokenizer.encode_batch_fast([" " + p for p in alone], add_special_tokens=False)
+            for p, e in zip(alone, found):
+                (self.tails if p[-1:].isspace() else known)[p] = np.array(e.ids, dtype=f"<u{self.width}").tobytes()
+            pieces = [p for p in pieces if p and p == p.strip()]
         # A letter and a comma or full stop after it never share an id, so a known word gives its marked form.
         stems = {p: known.get(p[:-1]) for p in pieces if p[-1:] in self.marks and p[-2:-1].isalpha()}
         known.update((p, ids + self.marks[p[-1]]) for p, ids in stems.items() if ids is not None)
@@ -200,17 +213,22 @@ class Encoder:
             open_ = [i for i, g in enumerate(got) if g is None] if None in got else []
             new += [pieces[i] for i in open_]
             work.append((head, pieces, got, open_))
+        new = list(dict.fromkeys(new))
+        ends = {p for p in new if p[-1:].isspace()}
+        for k, w in enumerate(work):
+            if w and (w[0][-1:].isspace() or (ends and any(w[1][i] in ends for i in w[3]))) and _RUN.search(texts[k]):
+                work[k] = None
         if new:
-            self._learn(list(dict.fromkeys(new)))
+            self._learn(new)
         self._first([w[0] for w in work if w])
-        out = []
+        out, known = [], self.known
         for t, w in zip(texts, work):
             if w is None:
                 out.append(self._library(t).tobytes())
                 continue
             head, pieces, got, open_ = w
             for i in open_:
-                got[i] = self.known[pieces[i]]
+                got[i] = known.get(pieces[i]) or self.tails[pieces[i]]
             out.append(self.heads[head] + b"".join(got))
         return out
 

@@ -70,3 +70,11 @@ def test_perfect_hash(keys):
     values = np.array(sorted(keys), dtype=np.int64)
     table = tokens.PerfectHash.build(values)
     assert sorted(table.find(values).tolist()) == list(range(len(values)))
+
+
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(st.text(alphabet=st.sampled_from("a \n\xa0　,"), max_size=20), max_size=6))
+def test_white_space_of_all_kinds_around_spaces(encoder, texts):
+    texts = [*texts, "a\n \xa0 \xa0", " \xa0 \xa0 ", "a\xa0 \xa0 a"]
+    got = [np.frombuffer(b, dtype="<u2").tolist() for b in encoder.encode_many(texts)]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
