@@ -45,8 +45,18 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id")
 
 
+def as_queries(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select(F.col("vec_id").alias("qid"), F.concat(F.lit("part "), F.col("vec_id").cast("string")).alias("query"), F.col("embedding").alias("vector"))
+
+
 def query_vectors(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.concat(F.lit("part "), F.col("vec_id").cast("string")).alias("query"), F.col("embedding").alias("vector"))
+    """The fixed queries of the SQL below."""
+    return as_queries(table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n))
+
+
+def every_query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 20: their number grows with the table."""
+    return as_queries(table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0))
 
 
 SQL = f"""

@@ -1,0 +1,32 @@
+"""Recall of the approximate search over every query, against brute force, with the share of pairs compared."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from semlode.operators import search
+from semlode.plans import queries as Q
+from semlode.plans import staging as S
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ann_topk_recall(spark, sf):
+    d = f"/root/testdata/{sf}"
+    corpus = S.corpus(spark, d).select("id", "vector").cache()
+    rows = corpus.orderBy("id").collect()
+    ids, x = np.array([r["id"] for r in rows]), np.array([r["vector"] for r in rows], dtype=float)
+    asked = S.table(spark, d, "embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding").collect()
+    got = {}
+    for r in Q.QUERIES["ann_topk"](spark, d).collect():
+        got.setdefault(r["qid"], set()).add(r["id"])
+    assert set(got) == {r["vec_id"] for r in asked} and all(len(v) == 10 for v in got.values())
+    hit = 0
+    for r in asked:
+        best = np.argsort(-(x @ np.array(r["embedding"], dtype=float)), kind="stable")[:10]
+        hit += len(got[r["vec_id"]] & set(ids[best].tolist()))
+    recall = hit / (10 * len(asked))
+    centres = search.coarse_lists(corpus, Q.LISTS)
+    in_list = search.assign(corpus, centres).groupBy(F.element_at("lists", 1).alias("list")).count()
+    probed = search.assign(S.every_query_vector(spark, d), centres, Q.PROBES).select(F.explode("lists").alias("list"))
+    share = probed.join(in_list, "list").agg(F.sum("count")).first()[0] / (len(asked) * len(ids))
+    print(f"{sf}: {len(asked)} queries, {len(ids)} vectors, recall@10 {recall:.3f} with {share:.3f} of pairs compared")
+    assert recall >= 0.9 and share < 0.75
