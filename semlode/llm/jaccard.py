@@ -1,7 +1,7 @@
 """N-gram Jaccard join (operator 3) with set-relation skipping.
 
 A document's set is its distinct 3-word shingles; documents link where the Jaccard coefficient is at least
-90 %.  The join is exact (up to collisions of 64-bit hashes):
+90 % (both are parameters, the pipeline has others).  The join is exact (up to collisions of 64-bit hashes):
 
 1. One pass over the texts gives each set's size and 128-bit signature, and a fixed-size table of how often
    shingles occur, by bucket.  Equal sets become one node, so copies are never paired.
@@ -372,7 +372,7 @@ def join(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> D
     return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """One document of each group stays: that whose id names the component; rows without words or id stay."""
-    groups = join(docs).select(F.col("doc_id").alias("g_id"), F.col("component_id").alias("g_first")).where("g_id <> g_first").select("g_id").distinct()
+    groups = join(docs, k, num, den).select(F.col("doc_id").alias("g_id"), F.col("component_id").alias("g_first")).where("g_id <> g_first").select("g_id").distinct()
     return docs.join(groups, F.col("doc_id") == F.col("g_id"), "left_anti")
