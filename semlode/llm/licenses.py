@@ -1,8 +1,10 @@
 """License scans (operator 7), with DataFrame functions only.
 
-A file's header lines (those with a licence cue) and the whole of a licence file become sparse TF-IDF
-vectors over their words; the cosine with each template's vector decides.  Inverse document frequencies
-count all such texts and the templates.  Files without a licence of their own inherit that of the
+A file's header lines (those with a licence cue), the lines of a licence file and the whole of it become
+sparse TF-IDF vectors over their words.  The cosine of each line with TEMPLATES decides (at least 0.5), that of
+a whole licence file with the full texts of license_texts (at least WHOLE); inverse document frequencies count
+the lines and TEMPLATES, or the licence files and the full texts.  A line with an SPDX identifier of a known
+licence has score 1.  What the whole of a licence file says goes before its lines.  Files without a licence of their own inherit that of the
 licence file in the nearest directory above, found by joining every ancestor directory with the
 directories that have one.
 
@@ -13,6 +15,9 @@ the best score, then the first path; rows that repeat have equal results; empty
 
 from __future__ import annotations
 
+from functools import cache
+from importlib.resources import files as package_files
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +28,8 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -32,6 +39,12 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
 }
 
+#: Least cosine of a whole licence file: two licences of different families have at most 0.85 (GPL-3.0 and LGPL-2.1).
+WHOLE = 0.85
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(*([a-z0-9.+-]+)"
+#: Endings of an SPDX identifier that do not name another text.
+SPDX_ENDING = r"(-only|-or-later|\+)$"
+
 CUE = r"(?i)licen[sc]e|copyright|spdx|creative commons"
 LICENSE_FILE = r"(?i)(^|/)(license|licence|copying|unlicense)(\.[a-z]+)?$"
 
@@ -46,36 +59,65 @@ def header_lines(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(CUE)), F.concat_ws("\n", F.filter(sentences, lambda s: F.regexp_like(s, F.lit(CUE)))))
 
 
+@cache
+def full_texts() -> dict[str, str]:
+    """The texts of license_texts; that of AGPL-3.0 is made from GPL-3.0's by its name and its section on networks."""
+    out = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in package_files("semlode.llm").joinpath("license_texts").iterdir() if f.name.endswith(".txt")}
+    named = out["GPL-3.0"].replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC").replace("GNU General Public", "GNU Affero General Public")
+    return out | {"AGPL-3.0": named + AFFERO}
+
+
+AFFERO = """
+Remote Network Interaction. If you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network
+(if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a
+network server at no charge, through some standard or customary means of facilitating copying of software.
+"""
+
+
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(sorted(templates.items()), "license string, body string")
 
 
+def cosines(texts: DataFrame, templates: dict[str, str], least: float, name: str) -> DataFrame:
+    """(line, files, said) with distinct digests to line, best: struct<at, license>, at the negative score."""
+    spark = texts.sparkSession
+    terms = texts.select("line", "files", F.explode(words(F.col("said"))).alias("word")).groupBy("line", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("files").alias("files"))
+    terms = materialize(terms, f"{name}-terms")
+    of_template = template_table(spark, templates).select("license", F.explode(words(F.col("body"))).alias("word")).groupBy("license", "word").agg(F.count(F.lit(1)).alias("tf"))
+    total = texts.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("n")).first()["n"] + len(templates)
+    counted = terms.select("word", F.col("files").alias("df")).unionByName(of_template.select("word", F.lit(1).alias("df"))).groupBy("word").agg(F.sum("df").alias("df"))
+    idf = counted.select("word", (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    weigh = lambda t, key: t.join(idf, "word").withColumn("w", F.col("tf") * F.col("idf")).select(key, "word", "w")
+    of_line, of_license = materialize(weigh(terms, "line"), f"{name}-vectors"), materialize(weigh(of_template, "license"), f"{name}-templates")
+    norm = lambda t, key, name: t.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
+    # The templates are a parameter of the call; their number of words bounds the broadcast.
+    dots = of_line.join(F.broadcast(of_license.withColumnRenamed("w", "tw")), "word").groupBy("line", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dots.join(norm(of_line, "line", "n1"), "line").join(F.broadcast(norm(of_license, "license", "n2")), "license")
+    best = scored.withColumn("score", F.round(F.col("dot") / (F.col("n1") * F.col("n2")), 6)).where(F.col("score") >= least)
+    return best.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("at"), "license")).alias("best"))
+
+
 def own_license(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.5) -> DataFrame:
     """(file, path, text) to (file, path, license, score): what the text itself says.
 
     Each distinct header sentence is scored once, however many files carry it, and a file takes its best sentence.
+    A licence file is also scored whole.
     """
-    spark = files.sparkSession
     whole = F.coalesce(F.regexp_like("path", F.lit(LICENSE_FILE)), F.lit(False))
     said = files.select("file", "path", F.when(whole, F.split("text", "\n")).otherwise(F.split(header_lines(F.col("text")), "\n")).alias("lines"))
     said = materialize(said.select("file", "path", F.explode("lines").alias("said")).where(F.col("said") != "").withColumn("line", F.unhex(F.md5("said"))), "license-lines")
     # From here on a line is known by its digest.
     lines = said.groupBy("line").agg(F.count(F.lit(1)).alias("files"), F.first("said").alias("said"))
-    terms = lines.select("line", "files", F.explode(words(F.col("said"))).alias("word")).groupBy("line", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("files").alias("files"))
-    terms = materialize(terms, "license-terms")
-    of_template = template_table(spark, templates).select("license", F.explode(words(F.col("body"))).alias("word")).groupBy("license", "word").agg(F.count(F.lit(1)).alias("tf"))
-    total = lines.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("n")).first()["n"] + len(templates)
-    counted = terms.select("word", F.col("files").alias("df")).unionByName(of_template.select("word", F.lit(1).alias("df"))).groupBy("word").agg(F.sum("df").alias("df"))
-    idf = counted.select("word", (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weigh = lambda t, key: t.join(idf, "word").withColumn("w", F.col("tf") * F.col("idf")).select(key, "word", "w")
-    of_line, of_license = materialize(weigh(terms, "line"), "license-vectors"), materialize(weigh(of_template, "license"), "license-templates")
-    norm = lambda t, key, name: t.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    # The templates are a parameter of the call; their number of words bounds the broadcast.
-    dots = of_line.join(F.broadcast(of_license.withColumnRenamed("w", "tw")), "word").groupBy("line", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(norm(of_line, "line", "n1"), "line").join(F.broadcast(norm(of_license, "license", "n2")), "license")
-    best = scored.withColumn("score", F.round(F.col("dot") / (F.col("n1") * F.col("n2")), 6)).where(F.col("score") >= least)
-    best = best.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("at"), "license")).alias("best"))
-    found = said.join(best, "line").groupBy("file", "path").agg(F.min("best").alias("best"))
+    tagged = F.regexp_replace(F.lower(F.regexp_extract("said", SPDX, 1)), SPDX_ENDING, "")
+    known = template_table(files.sparkSession, dict.fromkeys(templates.keys() | full_texts().keys(), "")).select("license", F.lower("license").alias("tag"))
+    tags = lines.select("line", tagged.alias("tag")).join(F.broadcast(known), "tag").select("line", F.struct(F.lit(-1.0).alias("at"), "license").alias("best"))
+    best = cosines(lines, templates, least, "license").unionByName(tags)
+    of_lines = said.join(best, "line").groupBy("file", "path").agg(F.min("best").alias("best"))
+    bodies = files.where(whole & (F.col("text") != "")).select("file", "path", F.col("text").alias("said"), F.unhex(F.md5("text")).alias("line"))
+    texts = bodies.groupBy("line").agg(F.count(F.lit(1)).alias("files"), F.first("said").alias("said"))
+    of_whole = bodies.select("file", "path", "line").join(cosines(texts, full_texts(), WHOLE, "license-whole"), "line").groupBy("file", "path").agg(F.min("best").alias("best"))
+    both = of_lines.withColumn("after", F.lit(1)).unionByName(of_whole.withColumn("after", F.lit(0)))
+    found = both.groupBy("file", "path").agg(F.min_by("best", "after").alias("best"))
     return materialize(found.select("file", "path", F.col("best.license").alias("license"), (-F.col("best.at")).alias("score")), "license-own")
 
 
