@@ -311,7 +311,7 @@ def embed_rerank(spark, d):
     """Texts through the stand-in models: embed, search, rerank."""
     embed = models.hashed_embedder(64)
     docs = embed(S.packages(spark, d), "document").withColumn("id", F.col("name"))
-    queries = embed(S.query_vectors(spark, d).select("qid", "query"), "query")
+    queries = embed(S.every_query_vector(spark, d).select("qid", "query"), "query")
     found = search.search(queries, docs, as_of(), use_rerank=True, scorer=models.overlap_scorer)
     return found.select("qid", "id", "place", six(F.col("final"), "final"))
 

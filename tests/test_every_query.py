@@ -1,0 +1,30 @@
+"""Every row whose id is divisible by 20 as a query, broadcast and in blocks; the SQL's 20 fixed queries are widened here only."""
+
+import duckdb
+import pytest
+from semlode.operators import search
+from semlode.plans import queries as Q
+from semlode.plans import staging as S
+
+SF = "/root/testdata/sf0.01"
+NAMES = "blend_search cosine_topk_multi filtered_topk rerank_search hit_projection rag_context rag_prompt validate_grounded validate_dropped parse_answers".split()
+
+
+def test_embed_rerank_answers_every_query(spark):
+    want = {r["vec_id"] for r in S.table(spark, SF, "embeddings").where("vec_id % 20 = 0").collect()}
+    assert {r["qid"] for r in Q.QUERIES["embed_rerank"](spark, SF).select("qid").collect()} == want and len(want) > 20
+
+
+@pytest.mark.parametrize("name, most", [(n, 500) for n in NAMES] + [("cosine_topk_multi", 10), ("blend_search", 10)])
+def test_plans_hold_for_every_query(spark, monkeypatch, name, most):
+    monkeypatch.setattr(S, "query_vectors", S.every_query_vector)
+    monkeypatch.setattr(search, "MOST_QUERIES", most)
+    con = duckdb.connect()
+    for t in ("part", "lineitem", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = Q.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    rel = con.execute(Q.ORACLE[name].replace("WHERE vec_id < 20)", "WHERE vec_id % 20 = 0)"))
+    at = [[d[0] for d in rel.description].index(c) for c in columns]
+    want = sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == want and want
