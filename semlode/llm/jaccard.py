@@ -373,6 +373,19 @@ def join(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> D
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One document of each group stays: that whose id names the component; rows without words or id stay."""
-    groups = join(docs, k, num, den).select(F.col("doc_id").alias("g_id"), F.col("component_id").alias("g_first")).where("g_id <> g_first").select("g_id").distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("g_id"), "left_anti")
+    """One document of each group stays: that with the least id; rows without words or id stay.
+
+    Rows are told apart by a 64-bit hash of id and text: rows of one id with other texts go or stay with
+    their own groups, and of rows with the same id and text one stays.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    ids = docs.where("doc_id IS NOT NULL").select(key.alias("g_key"), F.col("doc_id").cast("long").alias("g_id")).groupBy("g_key").agg(F.min("g_id").alias("g_id"), F.count(F.lit(1)).alias("g_rows"))
+    groups = join(docs.select(key.alias("doc_id"), "text"), k, num, den).where("n_shingles > 0").select(F.col("doc_id").alias("g_key"), F.col("component_id").alias("g_group")).distinct()
+    members = materialize(ids.join(groups, "g_key"), "jaccard-members")
+    first = members.groupBy("g_group").agg(F.min(F.struct("g_id", "g_key")).alias("g_first")).select("g_first.g_key")
+    gone = members.join(first, "g_key", "left_anti").select("g_key")
+    again = members.where("g_rows > 1").select("g_key")
+    if again.isEmpty():
+        return docs.join(gone, key == F.col("g_key"), "left_anti")
+    once = docs.join(again.join(first, "g_key", "left_semi"), key == F.col("g_key")).dropDuplicates(["g_key"]).drop("g_key")
+    return docs.join(gone.unionByName(again).distinct(), key == F.col("g_key"), "left_anti").unionByName(once)
