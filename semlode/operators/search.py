@@ -48,8 +48,9 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 50, where: Column |
 
     The filter is applied before the search.  Only ids and vectors take part; up to MOST_QUERIES are sent to
     every task, more than that go in blocks (nearest_blocked); each task passes on k rows a query.  Rows
-    without an id or a vector are not searched.
+    without an id or a vector are not searched, queries without a vector not answered.
     """
+    queries = queries.where(F.col("vector").isNotNull())
     if queries.select("qid").limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
         return nearest_blocked(queries, corpus, k, where)
     pool = searchable(corpus, where)
@@ -64,7 +65,8 @@ def nearest_blocked(queries: DataFrame, corpus: DataFrame, k: int = 50, where: C
 
     Each task keeps k rows a query, so what is shuffled does not grow with the corpus but with tasks.
     """
-    pool = searchable(corpus, where).select("id", F.col("vector").cast("array<float>").alias("vector"))
+    queries = queries.where(F.col("vector").isNotNull())
+    pool = searchable(corpus, where).select("id", "vector")
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", pool.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     kinds = to_arrow_schema(schema)
     parts, rows = [], []
