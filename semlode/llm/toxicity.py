@@ -2,7 +2,7 @@
 
 Labels are given for documents, so the tokens of toxic documents are labelled first: a cue is a word, or a
 beginning of a word, that occurs in far more toxic than clean training documents; tokens with a cue are
-toxic spans, all others clean.  The field (two states; word, beginning and neighbour features) is fitted
+toxic spans, all others clean.  The field (two states; word and beginning features, neighbours count by the transitions only) is fitted
 to these token labels by its exact likelihood.  Forward-backward marginals tag spans, and a logistic
 regression of their sums gives the document's score.
 
