@@ -9,22 +9,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The URI of the shared folder: spark.checkpoint.dir, or a folder of its own where that is unset (tests)."""
+    """The URI of the shared folder: spark.checkpoint.dir, or the folder given to setCheckpointDir.
+
+    Where neither is set, a session with a local master (tests) gets a folder of its own; on a cluster that is
+    an error, as executors would not see each other's files.
+    """
     found = spark.conf.get(CHECKPOINT_KEY, None)
     if not found:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = given.get() if given.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} is not set: executors need a folder that all of them see")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="semlode-")
         spark.conf.set(CHECKPOINT_KEY, found)
-    if "://" not in found and not found.startswith("file:"):
-        found = "file://" + found
+    if "://" not in found:
+        found = "file://" + found.removeprefix("file:")
     return found.rstrip("/")
 
 
@@ -41,7 +50,53 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.table_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(t.table_path)
+        where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def prefix_for(df: DataFrame, name: str) -> str:
+    """A beginning for helper columns that no column of df has, whatever its case."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df by quoted names, for those with dots or other marks in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def join_heavy(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", share: int = 1_000) -> DataFrame:
+    """rows with table (one row a key), where one key may hold any part of the rows.
+
+    A key is heavy with more than 1 / share of the rows, so at most `share` of them are; what the table has for
+    those is broadcast, and the others meet by a shuffle in which no key is large.  rows are read twice.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("heavy_n"))
+    total = F.lit(rows.count() // share)
+    heavy = materialize(counts.where((F.col("heavy_n") > total) & F.col(key).isNotNull()).select(key), "heavy")
+    some, few = F.broadcast(heavy), F.broadcast(table.join(F.broadcast(heavy), key, "left_semi"))
+    return rows.join(some, key, "left_semi").join(few, key, how).unionByName(rows.join(some, key, "left_anti").join(table, key, how))
+
+
+def ranked(df: DataFrame, order: Column, tag: str) -> DataFrame:
+    """df, written, with `place`: its number from 0 in one order over all rows; no task sees more than a range of them."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialize(df.repartitionByRange(ranges, order).withColumn("place_range", F.spark_partition_id()), tag)
+    sizes = cut.groupBy("place_range").agg(F.count(F.lit(1)).alias("place_n"))
+    # One short row a range: as many as there are partitions.
+    before = sizes.select("place_range", F.coalesce(F.sum("place_n").over(Window.orderBy("place_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("place_before"))
+    inside = F.row_number().over(Window.partitionBy("place_range").orderBy(order)) - 1
+    return cut.withColumn("place_in", inside).join(F.broadcast(before), "place_range").withColumn("place", F.col("place_in") + F.col("place_before")).drop("place_range", "place_in", "place_before")
 
 
 def open_fs(uri: str):
@@ -110,11 +165,6 @@ def merge_blocks(df: DataFrame, dtype: str, total: int, rows: int, how: str) ->
     return out
 
 
-def small_or_shuffled(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
-    """Ask for a broadcast only where the counted rows are within the limit."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results have been written.
 

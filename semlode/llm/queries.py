@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, decontaminate, jaccard, licenses, media, mixing, quality, secrets, tokens, toxicity
 
@@ -14,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +59,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
-ORACLE = {"op2_chat": chat.ORACLE}
+ORACLE = {"op1_mixing": mixing.ORACLE, "op2_chat": chat.ORACLE}
