@@ -10,7 +10,10 @@ come from a text; removing one backslash before every character undoes it.
 
 Defined cases: null roles and texts are empty; a parent that does not exist counts as none, so its
 child is a root; messages on a cycle have no root and are on no path; equal scores are ordered by depth,
-then by message; null trees form one tree; empty tables give empty results; other columns are ignored.
+then by message; null trees form one tree; a message without a node is in no tree and left out; of messages
+with one tree and node the first by parent, role, text and score counts; very long texts are one message,
+and a path is one row of output; empty tables give empty results; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -67,13 +70,18 @@ def paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     return out
 
 
-def format_trees(nodes: DataFrame, keep: int = 1, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_trees(nodes: DataFrame, keep: int = 1, loss_roles: tuple[str, ...] = ("assistant",), unique: bool = False) -> DataFrame:
     """nodes (tree, node, parent, role, text, score) to (tree, leaf, branch, formatted, loss).
 
     loss: array<struct<start, end>>, the code points of `formatted` that are trained on.  One
     conversation is one row, as it is in the output; it is gathered by its own key only.
+    unique: no tree has a node twice, so repeated messages need not be looked for.
     """
-    nodes = nodes.select("tree", "node", "parent", "role", "text", F.col("score").cast("double").alias("score"))
+    kind, tree = nodes.schema["tree"].dataType, F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit(""))
+    nodes = nodes.where("node IS NOT NULL").select(tree.alias("tree"), "node", "parent", "role", "text", F.col("score").cast("double").alias("score"))
+    if not unique:
+        first = nodes.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m"))
+        nodes = materialize(first.select("tree", "node", "m.*"), "chat-messages")
     turns = paths(nodes.select("tree", "node", "parent", "score"), keep).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
     body = F.struct(
         (-F.col("up")).alias("at"),
@@ -95,7 +103,8 @@ def format_trees(nodes: DataFrame, keep: int = 1, loss_roles: tuple[str, ...] =
             ).otherwise(a["got"]).alias("got"),
         ),
     )["got"]
-    return gathered.select("tree", "leaf", "branch", formatted.alias("formatted"), spans.alias("loss"))
+    named = F.when(F.col("tree") != "", F.substring("tree", 2, 1 << 30)).cast(kind)
+    return gathered.select(named.alias("tree"), "leaf", "branch", formatted.alias("formatted"), spans.alias("loss"))
 
 
 def parse(formatted: Column) -> Column:
@@ -118,8 +127,7 @@ def from_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) to reply trees that are chains in the order of turn."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = turns.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))
-    tree = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
-    return numbered.select(tree.alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
+    return numbered.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
 #: The conversation that the contract adds.
@@ -130,9 +138,9 @@ def query(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(hard)
-    written = materialize(format_trees(materialize(from_turns(turns), "chat-nodes")), "chat-formatted")
+    written = materialize(format_trees(materialize(from_turns(turns), "chat-nodes"), unique=True), "chat-formatted")
     read = written.select(
-        F.when(F.col("tree") != "null", F.col("tree").cast("long")).alias("conv_id"), F.length("formatted").cast("long").alias("formatted_chars"), parse(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("loss")).alias("masked")
+        F.col("tree").alias("conv_id"), F.length("formatted").cast("long").alias("formatted_chars"), parse(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("loss")).alias("masked")
     )
     spoken = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return read.select(

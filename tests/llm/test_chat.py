@@ -58,3 +58,12 @@ def test_long_chain_and_odd_rows(spark):
 def test_empty(spark):
     assert chat.query(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 1
     assert chat.format_trees(spark.createDataFrame([], TREE)).count() == 0
+
+
+def test_null_trees_and_repeated_messages(spark):
+    rows = [(None, 1, None, "user", "q", 1.0), (None, 2, 1, "assistant", "a", 1.0), ("", 1, None, "user", "other", 1.0), ("null", 1, None, "user", "third", None)]
+    rows += [("r", 1, None, "user", "root", 1.0)] * 4 + [("r", 2, 1, "assistant", "x", 1.0)] * 3 + [("r", 2, 1, "assistant", "w", 9.0), ("r", None, 1, "user", "nowhere", 1.0), (None, None, None, None, None, None)]
+    nodes = spark.createDataFrame(rows, TREE).withColumns({c: F.lit("clash") for c in ("leaf", "branch", "up", "m", "turns")})
+    out = chat.format_trees(nodes, keep=5).withColumn("said", chat.parse(F.col("formatted"))).collect()
+    got = sorted(((r["tree"], [t["text"] for t in r["said"]]) for r in out), key=repr)
+    assert got == sorted([(None, ["q", "a"]), ("", ["other"]), ("null", ["third"]), ("r", ["root", "w"])], key=repr)
