@@ -81,3 +81,27 @@ def test_odd_rows(spark, odd, empty):
     kept = jaccard.keep_first(odd)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.where(F.col("doc_id").isNotNull()).collect()} == {1, 2, 3, 4, 5, 6, 8, 9}
     assert jaccard.keep_first(empty).count() == 0
+
+
+def test_long_lists_in_parts(spark, monkeypatch):
+    """One text shares a passage with most others, and lists are dealt in parts of two blocks of four."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "PART", 2)
+    monkeypatch.setattr(jaccard, "GROUP", 5)
+    rows = variants(11, texts=3, copies=60, length=30, changes=8)
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_hub_with_most_of_the_rows(spark):
+    """Near copies of one text are two thirds of the rows; the rest is unrelated."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*base[:i % 80], "x" * (1 + i // 80), *base[i % 80 + 1 :]])) for i in range(160)]
+    rows += [(200 + i, " ".join(f"u{rng.randrange(500)}" for _ in range(30))) for i in range(80)]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 1, 2), (2, "a b c d", 3, 4), (3, "z", 5, 6), (3, "z", 5, 6)], "doc_id long, text string, group_key long, `g.x` long")
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "a b c d", 1, 2), (3, "z", 5, 6)]
