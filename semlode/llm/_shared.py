@@ -122,6 +122,11 @@ def get_file(uri: str) -> bytes:
         return src.read()
 
 
+def drop_file(uri: str) -> None:
+    system, path = open_fs(uri)
+    system.delete_file(path)
+
+
 def pack(values: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
 

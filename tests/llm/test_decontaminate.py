@@ -57,3 +57,14 @@ def test_odd_rows(spark, odd, empty):
     assert run(empty, bench) == []
     assert run(odd, bench.limit(0)) == brute(docs, [])
     assert decontaminate.keep_clean(empty, bench).count() == 0
+
+
+def test_text_item_ids_and_common_windows(spark, monkeypatch):
+    """Many items have the same windows, others share their rarest shingle; candidates come in small slices."""
+    monkeypatch.setattr(decontaminate, "CANDIDATES", 7)
+    words = [f"w{i}" for i in range(40)]
+    items = [(f"é{i}", " ".join(words[:20])) for i in range(30)] + [(f"b{i}", " ".join([*words[5:16], f"x{i}", "y"])) for i in range(20)] + [(None, " ".join(words[20:35]))]
+    docs = [(1, " ".join(words)), (2, " ".join(words[5:16]) + " x3 y " + "z " * 500), (3, None), (3, ""), (4, "z")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    for most in (500_000, 60):
+        assert run(d, b, most_windows=most) == brute(docs, items)
