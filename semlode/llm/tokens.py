@@ -4,11 +4,14 @@ Documents are range-partitioned by id, encoded, and written in that order as sha
 folder.  A shard is a header (JSON), the index and the raw little-endian ids.  The index maps a document
 key to its row in constant time: levels of bit vectors, each holding the keys that met no other key
 there, with ranks; the row stores a fingerprint of the key, so a key that is not in the shard is refused
-(but for one in 2^32), and then the offset and length of its ids.
+(but for one in 2^32), and then the offset and length of its ids.  Keyed access (`lookup`) finds the shard
+by bisection in a directory file of fixed records, and then reads a few words of the index and the ids
+asked for, never a whole shard or directory.
 
 Defined cases: a null text is empty and has the end id alone; documents with a null id come last and are
 in no index; documents that share an id are next to each other and the index leads to the first; empty
-tables give no shards.  A task holds one shard (`shard_ids` ids, or one longer document) at a time.
+tables give no shards; of a very long text all is encoded; other columns are ignored.  A task holds one
+shard (`shard_ids` ids, or one longer document) at a time.
 """
 
 from __future__ import annotations
@@ -29,10 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import get_file, materialize, new_path, put_file
+from ._shared import get_file, materialize, new_path, open_fs, put_file
 from ._text import buffers, chunks, mix
 
-MAGIC = b"SLTOKEN1"
+MAGIC = b"SLTOKEN2"
 END_ID = 2
 _GOLD = 0x9E3779B97F4A7C15
 #: A space in white space that the tokenizer may give to the piece before it.
@@ -95,7 +98,7 @@ def write_shard(keys: list[int | None], lengths: np.ndarray, ids: bytes, width:
     prints, rows = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.uint32)
     prints[slot], rows[slot] = fingerprint(distinct), first
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.uint64)
-    arrays = [*table.levels, prints, rows, offsets, named]
+    arrays = [*[x for level, rank in zip(table.levels, table.ranks) for x in (level, rank)], prints, rows, offsets, named]
     head = json.dumps({"levels": [len(x) for x in table.levels], "keys": len(distinct), "docs": len(keys), "named": len(named), "width": width}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *[x.tobytes() for x in arrays], ids])
 
@@ -115,7 +118,7 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.table = PerfectHash([take("<u8", k) for k in head["levels"]])
+        self.table = PerfectHash([(take("<u8", k), take("<i8", k))[0] for k in head["levels"]])
         self.prints, self.rows = take("<u4", head["keys"]), take("<u4", head["keys"])
         self.offsets, self.named = take("<u8", head["docs"] + 1).astype(np.int64), take("<i8", head["named"])
         self.docs, self.width = head["docs"], head["width"]
@@ -137,6 +140,43 @@ class Shard:
         return None if row < 0 else self.ids_of(row)
 
 
+class ShardFile:
+    """Keyed access to a shard in place: each step reads some bytes at a known offset."""
+
+    def __init__(self, file) -> None:
+        self.file = file
+        start = file.read_at(12, 0)
+        if start[:8] != MAGIC:
+            raise ValueError("not a token shard")
+        (n,) = struct.unpack("<I", start[8:])
+        head, at = json.loads(file.read_at(n, 12)), 12 + n
+        self.levels, self.width = [], head["width"]
+        for k in head["levels"]:
+            self.levels.append((k, at))
+            at += 16 * k
+        self.prints, self.rows = at, at + 4 * head["keys"]
+        self.offsets = self.rows + 4 * head["keys"]
+        self.ids = self.offsets + 8 * (head["docs"] + 1) + 8 * head["named"]
+
+    def _read(self, dtype: str, at: int, count: int = 1) -> np.ndarray:
+        return np.frombuffer(self.file.read_at(count * np.dtype(dtype).itemsize, at), dtype=dtype)
+
+    def get(self, key: int) -> np.ndarray | None:
+        """The ids of the first document with the key, or None where its fingerprint is not here."""
+        name = np.array([key], dtype=np.int64).astype(np.uint64)
+        for level, (words, at) in enumerate(self.levels):
+            place = int(PerfectHash._place(name, level, words)[0])
+            word = int(self._read("<u8", at + 8 * (place >> 6))[0])
+            if word >> (place & 63) & 1:
+                slot = int(self._read("<i8", at + 8 * words + 8 * (place >> 6))[0]) + (word & (1 << (place & 63)) - 1).bit_count()
+                if self._read("<u4", self.prints + 4 * slot)[0] != fingerprint(name)[0]:
+                    return None
+                row = int(self._read("<u4", self.rows + 4 * slot)[0])
+                a, b = self._read("<u8", self.offsets + 8 * row, 2).tolist()
+                return self._read(f"<u{self.width}", self.ids + a * self.width, b - a).astype("<u4")
+        return None
+
+
 class Encoder:
     """A byte-level BPE tokenizer, with the ids of pieces of text remembered.
 
@@ -188,10 +228,11 @@ class Encoder:
             part = rest[at : at + 20_000]
             ids = self._library(" " + " ".join(part))
             ends = (np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * self.width).tolist()
-            if len(ends) != len(part) + 1:
-                raise ValueError("pieces and ids don't correspond")
             raw = ids.tobytes()
-            known.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])]))
+            if len(ends) == len(part) + 1:
+                known.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])]))
+            else:  # the cuts are not those between pieces: each by itself
+                known.update((p, self._library(" " + p).tobytes()) for p in part)
 
     def _first(self, pieces: list[str]) -> None:
         """Remember pieces that begin a text."""
@@ -245,6 +286,14 @@ def worker_encoder(path: str) -> Encoder:
 MANIFEST = "path string, part int, seq int, docs long, ids long, bytes long, first_id long, last_id long"
 
 
+def _ranges(docs: DataFrame, most_bytes: int = 64 << 20) -> int:
+    """Partitions for an ordered pass: as the session has, and more where the stored input is larger."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    stored = size if size < 1 << 60 else 0  # a leaf of unknown size counts as 2^63
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored // most_bytes))
+
+
 def write(docs: DataFrame, tokenizer_path: str, *, partitions: int | None = None, shard_ids: int = 4 << 20, end_id: int = END_ID) -> DataFrame:
     """(doc_id, text) to shard files; returns their manifest, which also is a table in the shared folder.
 
@@ -253,7 +302,7 @@ def write(docs: DataFrame, tokenizer_path: str, *, partitions: int | None = None
     """
     spark = docs.sparkSession
     root = new_path(spark, "tokens")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or _ranges(docs)
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_last())
     names = [x.split()[0] for x in MANIFEST.split(", ")]
 
@@ -276,7 +325,7 @@ def write(docs: DataFrame, tokenizer_path: str, *, partitions: int | None = None
 
         for batch in batches:
             _, offsets = buffers(batch.column(1))
-            for i, j in chunks(offsets, 1 << 19):
+            for i, j in chunks(offsets, 1 << 16):
                 texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
                 for key, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encoder.encode_many(texts)):
                     ids += end
@@ -289,8 +338,12 @@ def write(docs: DataFrame, tokenizer_path: str, *, partitions: int | None = None
             yield flush()
 
     manifest = materialize(ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text").mapInArrow(run, MANIFEST), "token-manifest")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    # Ids before a range of shards, one short row a range, and then within the range.
+    ranges = manifest.groupBy("part").agg(F.sum("ids").alias("all_ids"))
+    upto = lambda column, w: F.coalesce(F.sum(column).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = ranges.select("part", upto("all_ids", Window.orderBy("part")).alias("range_start"))
+    inside = upto("ids", Window.partitionBy("part").orderBy("seq"))
+    return manifest.withColumn("inside", inside).join(F.broadcast(earlier), "part").select(*manifest.columns, (F.col("range_start") + F.col("inside")).alias("start"))
 
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -318,22 +371,80 @@ def read(manifest: DataFrame) -> DataFrame:
                 keys = pa.array([*shard.named.tolist(), *[None] * (shard.docs - named)], pa.int64())
                 yield pa.RecordBatch.from_arrays([keys, pa.array(start + shard.offsets[:-1][row]), pa.array(lengths), pa.array(crc, pa.int64())], names)
 
-    spread = manifest.select("path", "start").repartition(max(1, min(shards, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    spread = manifest.select("path", "start").repartition(max(1, min(shards, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), shards // 64))
     return spread.mapInArrow(run, READ)
 
 
+#: A record of the directory: the last and first id of a shard and the name of its file.
+RECORD, RECORD_SIZE = "<qq48s", 64
+
+
+def directory(manifest: DataFrame) -> str:
+    """Write the shards in order as fixed records next to them; the URI, or '' without shards.
+
+    One record at a time passes the driver.
+    """
+    rows = manifest.where("first_id IS NOT NULL").orderBy("part", "seq").select("path", "first_id", "last_id")
+    out = uri = None
+    for r in rows.toLocalIterator():
+        root, name = r["path"].rsplit("/", 1)
+        if out is None:
+            uri = f"{root}/directory-{uuid.uuid4().hex}"
+            system, path = open_fs(uri)
+            out = system.open_output_stream(path)
+        last = r["last_id"] if r["last_id"] is not None else (1 << 63) - 1
+        out.write(struct.pack(RECORD, last, r["first_id"], name.encode()))
+    if out is not None:
+        out.close()
+    return uri or ""
+
+
+def _shard_of(file, count: int, key: int, seen: dict[int, tuple]) -> tuple | None:
+    """The record of the first shard whose ids may include the key, by bisection."""
+
+    def at(i: int) -> tuple:
+        if i not in seen:
+            seen[i] = struct.unpack(RECORD, file.read_at(RECORD_SIZE, i * RECORD_SIZE))
+        return seen[i]
+
+    low, high = 0, count
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if at(middle)[0] < key else (low, middle)
+    return at(low) if low < count and at(low)[1] <= key else None
+
+
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """Keyed access: keys (doc_id) to (doc_id, ids array<long>), by the shards whose range holds the key."""
-    ranges = manifest.select("path", "first_id", "last_id")
-    hits = keys.select(F.col("doc_id").cast("long").alias("doc_id")).join(ranges, F.col("doc_id").between(F.col("first_id"), F.coalesce("last_id", F.lit((1 << 63) - 1))))
+    """Keyed access: keys (doc_id) to (doc_id, ids array<long>), a row for each key that a shard has.
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        shard = Shard(get_file(key[0].as_py()))
-        wanted = table.column("doc_id").to_pylist()
-        found = [shard.get(k) for k in wanted]
-        return pa.table({"doc_id": pa.array(wanted, pa.int64()), "ids": pa.array([None if x is None else x.tolist() for x in found], pa.list_(pa.int64()))}).filter(pa.array([x is not None for x in found], pa.bool_()))
+    No join: each task looks its keys up in the shared folder, so any number may ask for one shard.
+    """
+    uri = directory(manifest)
 
-    return hits.groupBy("path").applyInArrow(run, "doc_id long, ids array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not uri:
+            return
+        system, path = open_fs(uri)
+        root, seen = path.rsplit("/", 1)[0], {}
+        with system.open_input_file(path) as names:
+            count, held, shard = names.size() // RECORD_SIZE, None, None
+            for batch in batches:
+                if len(seen) > 1 << 16:
+                    seen = {}
+                keys, ids = [], []
+                for key in sorted(k for k in batch.column(0).to_pylist() if k is not None):
+                    record = _shard_of(names, count, key, seen)
+                    if record is None:
+                        continue
+                    if record[2] != held:
+                        held, shard = record[2], ShardFile(system.open_input_file(f"{root}/{record[2].rstrip(bytes(1)).decode()}"))
+                    found = shard.get(key)
+                    if found is not None:
+                        keys.append(key)
+                        ids.append(found.tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return keys.select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def default_tokenizer() -> str:

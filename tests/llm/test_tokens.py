@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from semlode.llm import tokens
 from tokenizers import Tokenizer
 
@@ -78,3 +79,21 @@ def test_white_space_of_all_kinds_around_spaces(encoder, texts):
     texts = [*texts, "a\n \xa0 \xa0", " \xa0 \xa0 ", "a\xa0 \xa0 a"]
     got = [np.frombuffer(b, dtype="<u2").tolist() for b in encoder.encode_many(texts)]
     assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_lookup_reads_little_and_takes_any_keys(spark, small, rows, library, monkeypatch):
+    docs = small.where("doc_id < 40 OR doc_id = 999").unionByName(small.where("doc_id = 7").withColumn("text", F.lit("zz"))).unionByName(small.where("doc_id = 8").withColumn("doc_id", F.lit(None).cast("long")))
+    manifest = tokens.write(docs, tokens.default_tokenizer(), partitions=4, shard_ids=2_000)
+    monkeypatch.setattr(tokens, "Shard", None)
+    asked = [(i,) for i in [*range(45), 7, 7, 999, 1000, -1, None]]
+    got = sorted((r["doc_id"], r["ids"]) for r in tokens.lookup(manifest, spark.createDataFrame(asked, "doc_id long").repartition(3)).collect())
+    first = min(rows[7][1], "zz")
+    assert got == sorted((i, ids_of(library, first if i == 7 else rows[i][1])) for i in [*range(40), 7, 7, 999])
+    assert "Join" not in tokens.lookup(manifest, spark.createDataFrame(asked, "doc_id long"))._jdf.queryExecution().toString()
+    assert tokens.lookup(manifest.limit(0), spark.createDataFrame(asked, "doc_id long")).count() == 0
+
+
+def test_pieces_whose_cuts_are_elsewhere(encoder, monkeypatch):
+    monkeypatch.setattr(encoder, "spaced", np.zeros_like(encoder.spaced))
+    text = "some never seen wordsqq here zzqx"
+    assert np.frombuffer(encoder.encode(text), dtype="<u2").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
