@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,3 +63,13 @@ def test_queries_are_necessary(rule, data):
     flags = re.ASCII | (re.IGNORECASE if rule.ignore_case else 0)
     match = data.draw(st.from_regex(re.compile(rule.pattern, flags), fullmatch=True))
     assert holds(secrets.trigram_query(rule), match.lower())
+
+
+def test_time_is_linear_in_long_runs():
+    """A megabyte of each kind of run that a pattern begins with."""
+    hard = ["a" * 1_000_000 + "://", "eyJ" * 333_000 + ".eyJ", "http://" + "a" * 500_000 + ":" + "b" * 500_000, "token" + " " * 1_000_000, "-----BEGIN " + "PRIVATE KEY" * 90_000, "ghp_" * 250_000, "AKIA" * 250_000, "xoxb-" * 200_000]
+    rules = [(k, (r, secrets._compiled(r))) for k, r in enumerate(secrets.RULES)]
+    for text in hard:
+        began = time.perf_counter()
+        secrets.scan_text(text, rules)
+        assert time.perf_counter() - began < 5
