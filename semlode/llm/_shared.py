@@ -75,6 +75,11 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with plain names, for functions of Arrow batches, which Spark does not call on names with dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def join_heavy(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", share: int = 1_000) -> DataFrame:
     """rows with table (one row a key), where one key may hold any part of the rows.
 

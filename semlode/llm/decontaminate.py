@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import blocks_of, drop_file, get_file, merge_blocks, new_path, put_file
+from ._shared import blocks_of, drop_file, get_file, merge_blocks, new_path, numbered, put_file
 from ._text import ALNUM, buffers, chunks, mix, sequence_hash, words_of
 
 WINDOW, SHINGLE = 13, 3
@@ -239,14 +239,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most_windows: int = 500
 def keep_clean(docs: DataFrame, benchmark: DataFrame, most_windows: int = 500_000) -> DataFrame:
     """The documents that are not contaminated, with the columns of docs, in one pass over them."""
     paths = build_index(docs, benchmark, most_windows)
-    text = docs.columns.index("text")
+    names, text = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, got in _judged(batch, text, paths):
-                yield batch.slice(i, j - i).take(pa.array(np.flatnonzero(~np.asarray(got[-1]))))
+                kept = batch.slice(i, j - i).take(pa.array(np.flatnonzero(~np.asarray(got[-1]))))
+                yield pa.RecordBatch.from_arrays(kept.columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered(docs).mapInArrow(run, docs.schema)
 
 
 #: The contract in DuckDB's SQL.

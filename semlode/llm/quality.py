@@ -9,7 +9,9 @@ only numbers reach the driver.  Labels, lang, source and doc_id are never inputs
 
 Defined cases: null and empty texts have all statistics 0 and are scored like others; null labels are
 not learned from; a table without labels or with labels of one kind gives a constant score; labels that
-repeat count as often as they repeat; documents that repeat have equal scores.
+repeat count as often as they repeat; documents that repeat have equal scores, and of those that share an id
+the one with the least statistics is learned from; equal bounds go to the earlier statistic; of a very long
+text all counts; empty tables give empty results; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import columns_of, numbered, prefix_for
 from ._text import NOT_SPACE, buffers, chunks, words_of
 
 STATS = ["n_words", "n_bytes", "mean_word", "upper", "symbol", "digit", "bang", "bar", "stops", "distinct", "short_words", "long_words", "bare_marks", "line_words", "repeat_lines", "beyond_ascii", "repeat_pairs"]
@@ -92,13 +95,14 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.round(9)
 
 
-def with_statistics(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """docs with a column `stats` (struct of STATS); carry: the other columns to keep (all that docs has)."""
-    carry = carry if carry is not None else [c for c in docs.columns if c != "stats"]
-    extra = [] if "text" in carry else [docs["text"].alias("__text")]
-    kept = docs.select(*[docs[c] for c in carry], *extra)
+def with_statistics(docs: DataFrame, carry: list[str] | None = None, name: str = "stats") -> DataFrame:
+    """docs with a column `name` (struct of STATS); carry: the other columns to keep (all that docs has)."""
+    every = dict(zip(docs.columns, columns_of(docs)))
+    carry = carry if carry is not None else [c for c in docs.columns if c.lower() != name.lower()]
+    extra = [] if "text" in carry else [every["text"]]
+    kept = docs.select(*[every[c] for c in carry], *extra)
     text, width = carry.index("text") if "text" in carry else len(carry), len(carry)
-    schema = docs.select(*carry).schema.add("stats", T.StructType([T.StructField(s, T.DoubleType(), False) for s in STATS]), False)
+    schema = docs.select(*[every[c] for c in carry]).schema.add(name, T.StructType([T.StructField(s, T.DoubleType(), False) for s in STATS]), False)
     kind = pa.struct([pa.field(s, pa.float64(), False) for s in STATS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +111,9 @@ def with_statistics(docs: DataFrame, carry: list[str] | None = None) -> DataFram
             parts = [statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets)]
             values = np.concatenate(parts) if parts else np.zeros((0, len(STATS)))
             stats = pa.StructArray.from_arrays([pa.array(values[:, k]) for k in range(len(STATS))], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], stats], [*batch.schema.names[:width], "stats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], stats], [*carry, name])
 
-    return kept.mapInArrow(run, schema)
+    return numbered(kept).mapInArrow(run, schema)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, bound): all must hold
@@ -249,12 +253,20 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+def sample_labels(usable: DataFrame, max_rows: int) -> DataFrame:
+    """max_rows labels (l_id, y) at most, in the order of a hash of the id, numbered (label_no) where they repeat."""
+    chosen = usable.orderBy(F.xxhash64("l_id"), "l_id", "y").limit(max_rows)
+    return chosen.withColumn("label_no", F.row_number().over(Window.partitionBy("l_id").orderBy("y")))
+
+
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = 3, fold: int = 1, max_rows: int = 20_000, **options) -> Ensemble:
     """Learn from labelled rows outside the held-out fold, max_rows of them at most, in the order of a hash of the id."""
     usable = labels.select(F.col("doc_id").alias("l_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("l_id").isNotNull() & ~held_out(F.col("l_id"), folds, fold))
-    chosen = usable.orderBy(F.xxhash64("l_id"), "l_id", "y").limit(max_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "y")
-    rows = with_statistics(texts, ["doc_id", "y"]).select("doc_id", "y", "stats.*").limit(2 * max_rows).toPandas()
+    chosen = sample_labels(usable, max_rows)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "label_no", "y")
+    # One row a label, so what reaches the driver is bounded by max_rows.
+    one = with_statistics(texts, ["doc_id", "label_no", "y"]).groupBy("doc_id", "label_no", "y").agg(F.min("stats").alias("stats"))
+    rows = one.select("doc_id", "y", "stats.*").toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")
     return fit(rows[STATS].to_numpy(float), rows["y"].to_numpy(float), **options)
 
@@ -270,4 +282,5 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the classifier accepts, with the columns of docs."""
     model = train(docs, labels, **options)
-    return with_statistics(docs).withColumn("__score", score_column(model)).where("__score >= 0.5").select(*docs.columns)
+    name = prefix_for(docs, "stats")
+    return with_statistics(docs, name=name).where(score_column(model, name) >= 0.5).select(*columns_of(docs))

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -62,3 +63,48 @@ def test_rules_as_one_compiled_expression(spark):
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
     assert np.allclose([got[i] for i in range(len(x))], want)
+
+
+def plain_statistics(text):
+    """The statistics of one text, character by character."""
+    raw = (text or "").encode()
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t-\r]+", low)]
+    n, letters = len(words), [b for b in raw if b >= 0x80 or chr(b).isalpha()]
+    count = lambda chars: sum(chr(b) in chars for b in raw if b < 0x80)
+    share = lambda k, m: k / max(m, 1)
+    tokens = [low[a:b] for a, b in words]
+    lines = {}
+    for a, b in words:
+        lines.setdefault(low[:a].count(b"\n"), []).append(low[a:b])
+    said = [tuple(v) for v in lines.values()]
+    pairs = list(zip(tokens, tokens[1:]))
+    out = [n, len(raw), share(sum(map(len, tokens)), n), share(sum(65 <= b <= 90 for b in raw), len(letters)), share(count("#$%&*@^~=+<>{}[]\\_/"), len(raw)), share(count("0123456789"), len(raw)), share(count("!"), n), share(count("|"), n), share(count(".?"), n)]
+    out += [share(len(set(tokens)), n), share(sum(len(t) <= 3 for t in tokens), n), share(sum(len(t) >= 20 for t in tokens), n), share(sum(not any(b >= 0x80 or chr(b).isalpha() for b in t) for t in tokens), n), n / max(len(said), 1)]
+    # Lines are told apart by the sum of their words, so an order of words is not seen.
+    out += [1 - share(len({tuple(sorted(s)) for s in said}), len(said)), share(sum(b >= 0x80 for b in raw), len(raw)), 1 - share(len(set(pairs)), len(pairs))]
+    return [round(v, 9) if n or k < 9 else 0 for k, v in enumerate(out)]
+
+
+def test_statistics_against_plain_reading(spark, odd):
+    texts = [r["text"] for r in odd.where("doc_id IS NULL OR doc_id <> 5").collect()] + ["A b\nA b\n\nb A\n", "1 2 || !!! ... é", "x\n" * 40, "a a a a b", "Ünï CODE #1 $2 " + "long" * 9]
+    got = quality.with_statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()
+    for r in got:
+        assert np.allclose(list(r["stats"]), plain_statistics(texts[r["doc_id"]]), atol=2e-9), (texts[r["doc_id"]], dict(zip(quality.STATS, r["stats"])), plain_statistics(texts[r["doc_id"]]))
+
+
+def test_columns_stay_as_they_are(spark, small):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = small.withColumns({"stats": F.lit("mine"), "__score": F.lit("too"), "Stats_": F.lit(1), "a.b": F.lit(2)})
+    kept = quality.keep_good(docs, labels)
+    assert kept.dtypes == docs.dtypes
+    good = {r["doc_id"] for r in quality.classify(small, labels).where("score >= 0.5").collect()}
+    rows = kept.collect()
+    assert {r["doc_id"] for r in rows} == good and {(r["stats"], r["__score"], r["Stats_"], r["a.b"]) for r in rows} == {("mine", "too", 1, 2)}
+
+
+def test_repeated_ids_and_labels(spark):
+    docs = spark.createDataFrame([(i % 30, f"text {i} " * (i + 1)) for i in range(90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] * 2, "doc_id long, quality int")
+    a, b = quality.train(docs, labels, max_rows=20), quality.train(docs.repartition(7), labels.repartition(5), max_rows=20)
+    assert a == b
