@@ -10,7 +10,9 @@ directories that have one.
 
 Defined cases: null and empty texts have no licence of their own; null paths have no directories and inherit
 nothing; equal scores go to the template first by name; a directory with several licence files takes
-the best score, then the first path; rows that repeat have equal results; empty tables give empty results.
+the best score, then the first path; rows that repeat have equal results, and rows of one file with other
+texts results of their own; of a very long text every line is read; empty tables give empty results; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from importlib.resources import files as package_files
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import join_heavy, materialize
 
 #: Fixed texts of well-known licence headers.
 TEMPLATES = {
@@ -53,6 +55,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def header_lines(text: Column) -> Column:
     """The sentences of whole text that have a cue; a text without any costs one look for the cue."""
     sentences = F.split(text, r"\n|(?<=[.])[ ]+(?=[A-Z])")
@@ -87,8 +93,9 @@ def cosines(texts: DataFrame, templates: dict[str, str], least: float, name: str
     total = texts.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("n")).first()["n"] + len(templates)
     counted = terms.select("word", F.col("files").alias("df")).unionByName(of_template.select("word", F.lit(1).alias("df"))).groupBy("word").agg(F.sum("df").alias("df"))
     idf = counted.select("word", (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weigh = lambda t, key: t.join(idf, "word").withColumn("w", F.col("tf") * F.col("idf")).select(key, "word", "w")
-    of_line, of_license = materialize(weigh(terms, "line"), f"{name}-vectors"), materialize(weigh(of_template, "license"), f"{name}-templates")
+    # A word such as "license" may be in most lines.
+    weigh = lambda t, key: join_heavy(t, idf, "word").withColumn("w", F.col("tf") * F.col("idf")).select(key, "word", "w")
+    of_line, of_license = materialize(weigh(terms, "line"), f"{name}-vectors"), materialize(weigh(materialize(of_template, f"{name}-bodies"), "license"), f"{name}-templates")
     norm = lambda t, key, name: t.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
     # The templates are a parameter of the call; their number of words bounds the broadcast.
     dots = of_line.join(F.broadcast(of_license.withColumnRenamed("w", "tw")), "word").groupBy("line", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
@@ -98,27 +105,28 @@ def cosines(texts: DataFrame, templates: dict[str, str], least: float, name: str
 
 
 def own_license(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.5) -> DataFrame:
-    """(file, path, text) to (file, path, license, score): what the text itself says.
+    """(file, path, text) to (file, path, body, license, score): what the text itself, of which body is the digest, says.
 
     Each distinct header sentence is scored once, however many files carry it, and a file takes its best sentence.
     A licence file is also scored whole.
     """
     whole = F.coalesce(F.regexp_like("path", F.lit(LICENSE_FILE)), F.lit(False))
-    said = files.select("file", "path", F.when(whole, F.split("text", "\n")).otherwise(F.split(header_lines(F.col("text")), "\n")).alias("lines"))
-    said = materialize(said.select("file", "path", F.explode("lines").alias("said")).where(F.col("said") != "").withColumn("line", F.unhex(F.md5("said"))), "license-lines")
+    key = ["file", "path", "body"]
+    said = files.select("file", "path", digest(F.col("text")).alias("body"), F.when(whole, F.split("text", "\n")).otherwise(F.split(header_lines(F.col("text")), "\n")).alias("lines"))
+    said = materialize(said.select(*key, F.explode("lines").alias("said")).where(F.col("said") != "").withColumn("line", digest(F.col("said"))), "license-lines")
     # From here on a line is known by its digest.
     lines = said.groupBy("line").agg(F.count(F.lit(1)).alias("files"), F.first("said").alias("said"))
     tagged = F.regexp_replace(F.lower(F.regexp_extract("said", SPDX, 1)), SPDX_ENDING, "")
     known = template_table(files.sparkSession, dict.fromkeys(templates.keys() | full_texts().keys(), "")).select("license", F.lower("license").alias("tag"))
     tags = lines.select("line", tagged.alias("tag")).join(F.broadcast(known), "tag").select("line", F.struct(F.lit(-1.0).alias("at"), "license").alias("best"))
     best = cosines(lines, templates, least, "license").unionByName(tags)
-    of_lines = said.join(best, "line").groupBy("file", "path").agg(F.min("best").alias("best"))
-    bodies = files.where(whole & (F.col("text") != "")).select("file", "path", F.col("text").alias("said"), F.unhex(F.md5("text")).alias("line"))
-    texts = bodies.groupBy("line").agg(F.count(F.lit(1)).alias("files"), F.first("said").alias("said"))
-    of_whole = bodies.select("file", "path", "line").join(cosines(texts, full_texts(), WHOLE, "license-whole"), "line").groupBy("file", "path").agg(F.min("best").alias("best"))
+    of_lines = said.join(best, "line").groupBy(*key).agg(F.min("best").alias("best"))
+    bodies = files.where(whole & (F.col("text") != "")).select("file", "path", digest(F.col("text")).alias("body"), F.col("text").alias("said"))
+    texts = bodies.groupBy(F.col("body").alias("line")).agg(F.count(F.lit(1)).alias("files"), F.first("said").alias("said"))
+    of_whole = bodies.select(*key, F.col("body").alias("line")).join(cosines(texts, full_texts(), WHOLE, "license-whole"), "line").groupBy(*key).agg(F.min("best").alias("best"))
     both = of_lines.withColumn("after", F.lit(1)).unionByName(of_whole.withColumn("after", F.lit(0)))
-    found = both.groupBy("file", "path").agg(F.min_by("best", "after").alias("best"))
-    return materialize(found.select("file", "path", F.col("best.license").alias("license"), (-F.col("best.at")).alias("score")), "license-own")
+    found = both.groupBy(*key).agg(F.min_by("best", "after").alias("best"))
+    return materialize(found.select(*key, F.col("best.license").alias("license"), (-F.col("best.at")).alias("score")), "license-own")
 
 
 def ancestors(path: Column) -> Column:
@@ -133,14 +141,18 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     Directories, not files, meet in the inheriting join: each distinct directory looks for its nearest
     licence file once, and files then take their directory's answer.
     """
+    files = files.select("file", "path", "text")
     own = own_license(files, templates, least)
     directory = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
     given = own.where(F.regexp_like("path", F.lit(LICENSE_FILE))).withColumn("dir", directory)
     given = given.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("at"), "path", "license")).alias("given"))
     places = files.select(directory.alias("of")).where("of IS NOT NULL").distinct()
     above = places.select("of", F.explode(ancestors(F.concat("of", F.lit("/x")))).alias("a")).select("of", F.col("a.dir").alias("dir"), F.col("a.depth").alias("depth"))
-    nearest = above.where((F.col("depth") > 0) | (F.col("dir") == "")).join(given, "dir").groupBy("of").agg(F.max(F.struct("depth", F.col("given.license").alias("license"), F.col("given.path").alias("path"))).alias("got"))
-    rows = files.select("file", "path", directory.alias("of")).join(own.select(F.col("file").alias("f2"), F.col("path").alias("p2"), "license", "score"), F.col("file").eqNullSafe(F.col("f2")) & F.col("path").eqNullSafe(F.col("p2")), "left")
+    above = materialize(above.where((F.col("depth") > 0) | (F.col("dir") == "")), "license-above")
+    # The directories near the root are above most others.
+    nearest = join_heavy(above, materialize(given, "license-given"), "dir").groupBy("of").agg(F.max(F.struct("depth", F.col("given.license").alias("license"), F.col("given.path").alias("path"))).alias("got"))
+    same = F.col("file").eqNullSafe(F.col("f2")) & F.col("path").eqNullSafe(F.col("p2")) & (F.col("body") == F.col("b2"))
+    rows = files.select("file", "path", digest(F.col("text")).alias("body"), directory.alias("of")).join(own.select(F.col("file").alias("f2"), F.col("path").alias("p2"), F.col("body").alias("b2"), "license", "score"), same, "left")
     rows = rows.join(nearest, "of", "left")
     missing = F.col("license").isNull()
     return rows.select(

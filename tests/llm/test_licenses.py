@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
 from semlode.llm import licenses
 
 FILES = "file long, path string, text string"
@@ -79,4 +80,15 @@ def test_query(small, odd, empty):
     want = brute(files)
     assert got == want and sum(v[0] is not None for v in want.values()) > 30
     assert licenses.query(empty).count() == 0
-    assert licenses.query(odd).count() >= odd.count()
+    files = [tuple(r) for r in licenses.document_files(odd).collect()]
+    got = sorted((tuple(r) for r in licenses.query(odd).collect()), key=repr)
+    assert sorted((r[0], r[1]) for r in got if r[0]) == sorted((f, p) for f, p, _ in files if f) and len(got) == len(files)
+    assert all(r[2] is None and r[4] is False for r in got)
+
+
+def test_texts_of_one_file_and_clashing_names(spark):
+    mit, nc = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["CC-BY-NC-4.0"]
+    rows = [(1, "a/x", mit), (1, "a/x", nc), (1, "a/x", nc), (None, "b/LICENSE", mit), (2, "b/c", None), (2, "b/c", None)]
+    files = spark.createDataFrame(rows, FILES).withColumns({"body": F.lit("clash"), "line": F.lit("clash"), "of": F.lit(1), "license": F.lit("none")})
+    got = sorted((r["file"] or 0, r["license"], r["inherited"]) for r in licenses.scan(files).collect())
+    assert got == [(0, "MIT", False), (1, "CC-BY-NC-4.0", False), (1, "CC-BY-NC-4.0", False), (1, "MIT", False), (2, "MIT", True), (2, "MIT", True)]
