@@ -169,7 +169,8 @@ def merge_blocks(df: DataFrame, dtype: str, total: int, rows: int, how: str) ->
 
     merged = df.select("block", "blob").groupBy("block").applyInArrow(combine, "block int, blob binary")
     out = np.zeros(total, dtype=dtype)
-    for row in merged.toLocalIterator():
+    # At most total / rows rows, together no larger than the array; an iterator would run a job for each partition.
+    for row in merged.collect():
         part = unpack(bytes(row["blob"]), dtype)
         out[row["block"] * rows : row["block"] * rows + rows] = part[: max(0, total - row["block"] * rows)]
     return out

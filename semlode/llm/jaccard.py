@@ -243,7 +243,8 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int
     and the others pass by, so a task holds two sets at a time.
     """
     pairs = likely(nodes, pairs, num, den)
-    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
+    # Written, so that in the joins with it a set with many pairs may be split.
+    groups = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups")), "jaccard-groups")
     member = pairs.join(groups, "a").select(F.col("sig_b").alias("sig"), F.col("doc_b").alias("doc"), F.struct("a", F.pmod(F.xxhash64("b"), "groups").alias("part"), F.lit(1).alias("role"), F.col("b").alias("node"), F.col("n_b").alias("n")).alias("to"))
     asked = pairs.groupBy("a").agg(F.first("sig_a").alias("sig"), F.first("doc_a").alias("doc"), F.first("n_a").alias("n")).join(groups, "a")
     asked = asked.select("sig", "doc", "a", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part")).select("sig", "doc", F.struct("a", "part", F.lit(0).alias("role"), F.col("a").alias("node"), "n").alias("to"))
@@ -285,7 +286,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int
 
     done = sent.mapInArrow(compare, "a long, b long, n_a long, n_b long, overlap long").distinct()
     out = materialize(done.withColumn("linked", linked(F.col("overlap"), F.col("n_a"), F.col("n_b"), num, den)), "jaccard-verified")
-    discard(pairs, routes)
+    discard(pairs, routes, groups)
     release(docs.sparkSession)
     return out
 
@@ -319,6 +320,7 @@ def remaining_pairs(lists: DataFrame, info: DataFrame, num: int, den: int) -> Da
     entries = lists.join(info, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     every = entries = materialize(entries.select("token", "node", "n", "pos", "comp", "via", "shared"), "jaccard-entries")
     open_lists = entries.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("length")).where("low <> high").select("token", "length")
+    open_lists = materialize(open_lists, "jaccard-lengths")
     entries = materialize(entries.join(open_lists, "token"), "jaccard-open")
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("length") / BLOCK))
     size_block = lambda n: F.floor(F.log2(n) * 4)
@@ -355,7 +357,7 @@ def remaining_pairs(lists: DataFrame, info: DataFrame, num: int, den: int) -> Da
     met = probe.join(blocks, ["token", "part", "size_block"]).where(block_ok).select(F.col("p_node").alias("x"), F.filter("rows", entry_ok).alias("rows")).where(F.size("rows") > 0)
     found = met.select("x", F.explode("rows.node").alias("y"))
     rest = materialize(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "jaccard-rest")
-    discard(every, entries)
+    discard(every, entries, open_lists)
     return rest
 
 
