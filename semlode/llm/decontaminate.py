@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import blocks_of, drop_file, get_file, merge_blocks, new_path, numbered, put_file
+from ._shared import blocks_of, drop_file, get_file, merge_blocks, new_path, numbered, put_file, tidy
 from ._text import ALNUM, buffers, chunks, mix, sequence_hash, words_of
 
 WINDOW, SHINGLE = 13, 3
@@ -126,7 +126,7 @@ def _rarity(docs: DataFrame, sizes: list[int]) -> np.ndarray:
         for block, blob in blocks_of(counts.clip(0, 2**32 - 1).astype(np.uint32), RARITY_ROWS):
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
-    return merge_blocks(docs.select("text").mapInArrow(run, "block int, blob binary"), "uint32", total, RARITY_ROWS, "sum")
+    return merge_blocks(docs.select("text").mapInArrow(tidy(run), "block int, blob binary"), "uint32", total, RARITY_ROWS, "sum")
 
 
 def build_index(docs: DataFrame, benchmark: DataFrame, most_windows: int = 500_000) -> list[str]:
@@ -191,7 +191,7 @@ def _judge(parts: list[tuple[np.ndarray, np.ndarray]], paths: list[str]) -> list
     state = []
     for data, offsets in parts:
         words = words_of(data, offsets, ALNUM)
-        state.append((len(offsets) - 1, words._replace(sums=words.sums[:0]), np.zeros(len(words.doc) + 1, dtype=np.int64), [set() for _ in range(len(offsets) - 1)]))
+        state.append((len(offsets) - 1, words._replace(sums=np.zeros(0, np.uint64)), np.zeros(len(words.doc) + 1, dtype=np.int64), [set() for _ in range(len(offsets) - 1)]))
     for path in paths:
         block = _load(path)
         for n, words, cover, items in state:
@@ -218,8 +218,9 @@ def _judge(parts: list[tuple[np.ndarray, np.ndarray]], paths: list[str]) -> list
 def _judged(batch: pa.RecordBatch, text: int, paths: list[str]) -> Iterator[tuple[int, int, list[pa.Array]]]:
     data, offsets = buffers(batch.column(text))
     spans = list(chunks(offsets))
-    for at in range(0, len(spans), PARTS):
-        some = spans[at : at + PARTS]
+    together = PARTS if len(paths) > 1 else 1  # a single block stays loaded
+    for at in range(0, len(spans), together):
+        some = spans[at : at + together]
         yield from ((i, j, got) for (i, j), got in zip(some, _judge([(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in some], paths)))
 
 
@@ -233,7 +234,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most_windows: int = 500
             for i, j, got in _judged(batch, 1, paths):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), *got], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), RESULT)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, most_windows: int = 500_000) -> DataFrame:
@@ -247,7 +248,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, most_windows: int = 500_00
                 kept = batch.slice(i, j - i).take(pa.array(np.flatnonzero(~np.asarray(got[-1]))))
                 yield pa.RecordBatch.from_arrays(kept.columns, names)
 
-    return numbered(docs).mapInArrow(run, docs.schema)
+    return numbered(docs).mapInArrow(tidy(run), docs.schema)
 
 
 #: The contract in DuckDB's SQL.

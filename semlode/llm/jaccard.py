@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import blocks_of, discard, materialize, merge_blocks, prefix_for, release
+from ._shared import blocks_of, discard, materialize, merge_blocks, prefix_for, release, tidy
 from ._text import NOT_SPACE, buffers, chunks, mix, sequence_hash, words_of
 
 #: Fixed bounds of the contract, as num / den.
@@ -122,7 +122,7 @@ def survey(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         for b, blob in blocks_of(counts.clip(0, 2**32 - 1).astype(np.uint32), SKETCH_ROWS):
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["doc_id", "n", "sig", "block", "blob"])
 
-    seen = materialize(docs.mapInArrow(run, "doc_id long, n long, sig binary, block int, blob binary"), "jaccard-survey")
+    seen = materialize(docs.mapInArrow(tidy(run), "doc_id long, n long, sig binary, block int, blob binary"), "jaccard-survey")
     counts = merge_blocks(seen.where("block IS NOT NULL"), "uint32", 1 << SKETCH_BITS, SKETCH_ROWS, "sum")
     return seen.where("block IS NULL").select("doc_id", "n", "sig"), counts
 
@@ -146,7 +146,7 @@ def index_nodes(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int)
                     odd.append(parity(s))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (signs, prefixes, odd)]], ["doc", "n", "sig", "prefix", "parity"])
 
-    each = docs.mapInArrow(run, "doc long, n long, sig binary, prefix binary, parity binary")
+    each = docs.mapInArrow(tidy(run), "doc long, n long, sig binary, prefix binary, parity binary")
     nodes = each.groupBy("sig").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "prefix", "parity")])
     return materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
 
@@ -170,7 +170,7 @@ def postings(nodes: DataFrame, only=None) -> DataFrame:
                     columns = [c[keep] for c in columns]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "pos"])
 
-    return nodes.select("node", "n", "prefix").mapInArrow(run, "token long, node long, n long, pos long")
+    return nodes.select("node", "n", "prefix").mapInArrow(tidy(run), "token long, node long, n long, pos long")
 
 
 def pick_hash(values: np.ndarray) -> np.ndarray:
@@ -195,7 +195,7 @@ def bit_table(values: DataFrame):
         for b, blob in blocks_of(bits, PICK_ROWS):
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["block", "blob"])
 
-    return values.sparkSession.sparkContext.broadcast(merge_blocks(values.mapInArrow(mark, "block int, blob binary"), "uint8", 1 << (PICK_BITS - 3), PICK_ROWS, "or"))
+    return values.sparkSession.sparkContext.broadcast(merge_blocks(values.mapInArrow(tidy(mark), "block int, blob binary"), "uint8", 1 << (PICK_BITS - 3), PICK_ROWS, "or"))
 
 
 def index_lists(nodes: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def likely(nodes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
             keep = [(num + den) * parity_distance(x.as_py(), y.as_py()) <= (den - num) * (m + n) for x, y, m, n in zip(a, b, n_a.to_pylist(), n_b.to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return materialize(flat.mapInArrow(run, flat.schema).drop("parity_a", "parity_b"), "jaccard-likely")
+    return materialize(flat.mapInArrow(tidy(run), flat.schema).drop("parity_a", "parity_b"), "jaccard-likely")
 
 
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -267,7 +267,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int
                     blobs.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(where, pa.int64())), pa.array(signs, pa.binary()), pa.array(blobs, pa.binary())], ["d", "s", "shingles"])
 
-    sets = docs.mapInArrow(read, "d long, s binary, shingles binary").join(routes, (F.col("s") == F.col("sig")) & F.col("d").eqNullSafe(F.col("doc")))
+    sets = docs.mapInArrow(tidy(read), "d long, s binary, shingles binary").join(routes, (F.col("s") == F.col("sig")) & F.col("d").eqNullSafe(F.col("doc")))
     sent = sets.select("to.*", "shingles").repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +284,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int
                     out.append((a, node, n_a, n, len(np.intersect1d(hub, shingles, assume_unique=True))))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], ["a", "b", "n_a", "n_b", "overlap"])
 
-    done = sent.mapInArrow(compare, "a long, b long, n_a long, n_b long, overlap long").distinct()
+    done = sent.mapInArrow(tidy(compare), "a long, b long, n_a long, n_b long, overlap long").distinct()
     out = materialize(done.withColumn("linked", linked(F.col("overlap"), F.col("n_a"), F.col("n_b"), num, den)), "jaccard-verified")
     discard(pairs, routes, groups)
     release(docs.sparkSession)
@@ -305,10 +305,11 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     labels = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "node"), "cc-labels")
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        met = labels.join(near, "node").select("node", F.least("comp", "other").alias("next"), F.col("comp").alias("was"))
+        # Written, so that the join on the label that most of a large component has may be split.
+        met = materialize(labels.join(near, "node").select("node", F.least("comp", "other").alias("next"), F.col("comp").alias("was")), "cc-met")
         jump = met.select(F.col("node").alias("next"), F.col("next").alias("further"))
         moved = materialize(met.join(jump, "next", "left").select("node", F.least("next", F.coalesce("further", "next")).alias("comp"), "was"), "cc-labels")
-        discard(labels)
+        discard(labels, met)
         labels = moved
         if moved.where("comp <> was").isEmpty():
             discard(edges)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import columns_of, numbered, prefix_for
+from ._shared import columns_of, numbered, prefix_for, tidy
 from ._text import NOT_SPACE, buffers, chunks, words_of
 
 STATS = ["n_words", "n_bytes", "mean_word", "upper", "symbol", "digit", "bang", "bar", "stops", "distinct", "short_words", "long_words", "bare_marks", "line_words", "repeat_lines", "beyond_ascii", "repeat_pairs"]
@@ -113,7 +113,7 @@ def with_statistics(docs: DataFrame, carry: list[str] | None = None, name: str =
             stats = pa.StructArray.from_arrays([pa.array(values[:, k]) for k in range(len(STATS))], fields=list(kind))
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], stats], [*carry, name])
 
-    return numbered(kept).mapInArrow(run, schema)
+    return numbered(kept).mapInArrow(tidy(run), schema)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, bound): all must hold
