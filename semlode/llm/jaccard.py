@@ -42,7 +42,7 @@ from ._text import NOT_SPACE, buffers, chunks, mix, sequence_hash, words_of
 #: Fixed bounds of the contract, as num / den.
 NUM, DEN, SHINGLE = 90, 100, 3
 #: Entries of a block of an index list, blocks of a part of a long list, and sets of a group that meet one set, about.
-BLOCK, PART, GROUP = 64, 64, 512
+BLOCK, PART, GROUP = 64, 64, 128
 #: Sizes of the tables that are broadcast, whatever the input.
 SKETCH_BITS, SKETCH_ROWS = 20, 1 << 14
 PICK_BITS, PICK_ROWS = 26, 1 << 17
