@@ -64,6 +64,12 @@ def parse_time(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(r"^\d{4}-\d{2}-\d{2}([T ].*)?$")), F.try_to_timestamp(F.replace(text, F.lit("Z"), F.lit("+00:00"))))
 
 
+def time_or_text(text: Column) -> Column:
+    """struct<time, raw>: what parse_time reads, and the text itself where it reads nothing and is not empty."""
+    time = parse_time(text)
+    return F.struct(time.alias("time"), F.when(time.isNull() & (text != ""), text).alias("raw"))
+
+
 def point_id(name: Column) -> Column:
     """Name-based UUID (version 5) of `pypi:` + name in the DNS namespace."""
     h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE_DNS)), F.encode(F.concat(F.lit("pypi:"), name), "UTF-8")))

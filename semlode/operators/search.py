@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,10 +17,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..config import Settings
 from ..functions import ranking as R
 from ..functions import text as X
-from ..functions import vector as V
+from ..sources.shared import get_file, new_path, put_file
 
-#: Queries that a plan of built-in expressions takes; their vectors are broadcast.
-MOST_QUERIES = 500
+#: Queries of a block, and bytes of vectors that a task compares with the blocks at a time.
+BLOCK, CHUNK = 2_000, 32 << 20
 
 #: (query, document) pairs to a table with a column rerank_score.
 Reranker = Callable[[DataFrame], DataFrame]
@@ -43,70 +45,160 @@ def searchable(corpus: DataFrame, where: Column | None) -> DataFrame:
     return pool.where(F.col("id").isNotNull() & F.col("vector").isNotNull())
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int = 50, where: Column | None = None) -> DataFrame:
-    """Exact cosine top k: queries (qid, vector), corpus (id, vector) to qid, id, score, rank.
+def _vectors(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and matrix of the vectors of each length; those with a null or NaN in them are left out."""
+    sizes, flat = pc.list_value_length(column).to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    first, out = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), {}
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        x = flat[first[rows][:, None] + np.arange(int(size))]
+        whole = ~np.isnan(x).any(axis=1)
+        out[int(size)] = rows[whole], x[whole]
+    return out
 
-    The filter is applied before the search.  Only ids and vectors take part; up to MOST_QUERIES are sent to
-    every task, more than that go in blocks (nearest_blocked); each task passes on k rows a query.  Rows
-    without an id or a vector are not searched, queries without a vector not answered.
-    """
-    queries = queries.where(F.col("vector").isNotNull())
-    if queries.select("qid").limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        return nearest_blocked(queries, corpus, k, where)
-    pool = searchable(corpus, where)
-    pairs = pool.select("id", F.col("vector").alias("v")).crossJoin(F.broadcast(queries.select("qid", F.col("vector").alias("q"))))
-    scored = pairs.select("qid", "id", V.dot(F.col("v"), F.col("q")).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
+def query_blocks(queries: DataFrame, centres: np.ndarray | None = None, probes: int = 0, block: int = BLOCK) -> list[tuple[str, int]]:
+    """Write the queries to the shared folder, `block` of one length at most to a file; (path, length) of each.
 
-def nearest_blocked(queries: DataFrame, corpus: DataFrame, k: int = 50, where: Column | None = None, block: int = 2_000) -> DataFrame:
-    """The same by matrix products over Arrow batches, with the queries in blocks of a bounded size.
-
-    Each task keeps k rows a query, so what is shuffled does not grow with the corpus but with tasks.
+    The executors write; a short row a block comes back.  With centres, each query's nearest lists are written too.
+    """
+    spark = queries.sparkSession
+    n, root = queries.count(), new_path(spark, "queries")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def put(size: int) -> pa.RecordBatch:
+            ids, x = pa.concat_arrays([i for i, _ in held[size]]), np.concatenate([v for _, v in held.pop(size)])
+            table = {"qid": ids, "vector": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), size) if size else pa.nulls(len(x))}
+            if centres is not None:
+                near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32) if size == centres.shape[1] else np.zeros((len(x), 0), np.int32)
+                table["lists"] = pa.array(list(near), pa.list_(pa.int32()))
+            out, path = pa.BufferOutputStream(), f"{root}/{uuid.uuid4().hex}.arrow"
+            batch = pa.RecordBatch.from_pydict(table)
+            with pa.ipc.new_file(out, batch.schema) as file:
+                file.write_batch(batch)
+            put_file(path, out.getvalue().to_pybytes())
+            return pa.RecordBatch.from_pydict({"path": pa.array([path]), "size": pa.array([size], pa.int64())})
+
+        for batch in batches:
+            for size, (rows, x) in _vectors(batch.column(1)).items():
+                for at in range(0, len(rows), block):
+                    part = slice(at, at + block)
+                    if size in held and sum(len(v) for _, v in held[size]) + len(x[part]) > block:
+                        yield put(size)
+                    held.setdefault(size, []).append((batch.column(0).take(pa.array(rows[part])), x[part]))
+        for size in list(held):
+            yield put(size)
+
+    spread = queries.select("qid", "vector").repartition(max(1, -(-n // block)))
+    return [(r["path"], r["size"]) for r in spread.mapInArrow(write, "path string, size long").collect()]
+
+
+@lru_cache(maxsize=2)
+def _block(path: str) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
+    table = pa.ipc.open_file(get_file(path)).read_all().combine_chunks()
+    vector = table.column("vector").combine_chunks()
+    x = vector.flatten().to_numpy(zero_copy_only=False).reshape(len(vector), -1)
+    lists = [np.array(v) for v in table.column("lists").to_pylist()] if "lists" in table.column_names else []
+    return table.column("qid").combine_chunks(), x, lists
+
+
+def _first_copies(x: np.ndarray, k: int) -> np.ndarray:
+    """Rows without those that k equal rows stand before."""
+    _, which = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    starts = np.flatnonzero(np.diff(which[order], prepend=-1))
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return np.sort(order[place < k])
+
+
+def _best(q: np.ndarray, x: np.ndarray, k: int, lists: list[np.ndarray], of: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best rows of x for each query; of equal scores the first row goes first.
+
+    The matrix product only chooses candidates; their scores are summed alike for all pairs, so that equal
+    vectors have equal scores wherever they stand.
+    """
+    if of is None:
+        s = q @ x.T
+    else:
+        s = np.full((len(q), len(x)), -np.inf)
+        asks = np.zeros((len(q), int(of.max()) + 1), dtype=bool)
+        for i, near in enumerate(lists):
+            asks[i, near[near < asks.shape[1]]] = True
+        for name in np.unique(of):
+            who, rows = np.flatnonzero(asks[:, name]), np.flatnonzero(of == name)
+            s[np.ix_(who, rows)] = q[who] @ x[rows].T
+    low = np.full(len(q), -np.inf)
+    if len(x) > k:
+        slack = 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+        low = np.partition(s, len(x) - k, axis=1)[:, len(x) - k] - slack
+    who, row = np.nonzero((s >= low[:, None]) & (s > -np.inf))
+    score = np.concatenate([np.zeros(0), *[(q[who[i : i + 50_000]] * x[row[i : i + 50_000]]).sum(axis=1) for i in range(0, len(who), 50_000)]])
+    order = np.lexsort((row, -score, who))
+    who, row, score = who[order], row[order], score[order]
+    place = np.arange(len(who)) - np.searchsorted(who, who)
+    return who[place < k], row[place < k], score[place < k]
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = 50, where: Column | None = None, centres: np.ndarray | None = None, probes: int = 0, block: int = BLOCK) -> DataFrame:
+    """Cosine top k: queries (qid, vector), corpus (id, vector), of unit length, to qid, id, score, rank.
+
+    One way for any number of queries: they are written in blocks, and each task compares its vectors, a
+    bounded chunk at a time, with one block after the other by matrix products and passes on k rows a query
+    and chunk.  The corpus is read once and never shuffled, nor sent anywhere.  The filter is applied before
+    the search.  With centres, only vectors of the `probes` lists nearest to a query are compared with it.
+
+    Rows without an id or a vector, and vectors with a null or NaN in them, are not searched; queries without a
+    vector are not answered; vectors of different lengths are never compared.  All sums are in double
+    precision; equal scores are in the order of ids; rows that repeat an id are ranked each.
     """
     queries = queries.where(F.col("vector").isNotNull())
     pool = searchable(corpus, where).select("id", "vector")
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", pool.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     kinds = to_arrow_schema(schema)
-    parts, rows = [], []
-
-    def search(rows: list) -> DataFrame:
-        ids, matrix = pa.array([r["qid"] for r in rows], kinds.field(0).type), np.array([r["vector"] for r in rows], dtype=np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_s = best_i = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-                names = batch.column(0).to_numpy(zero_copy_only=False)
-                names = np.broadcast_to(names.astype(str) if names.dtype == object else names, (len(ids), batch.num_rows))
-                scores = matrix @ vectors.T
-                best_s, best_i = (scores, names) if best_s is None else (np.hstack([best_s, scores]), np.hstack([best_i, names]))
-                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            if best_s is not None:
-                each = pa.array(np.repeat(np.arange(len(ids)), best_s.shape[1]))
-                yield pa.RecordBatch.from_arrays([ids.take(each), pa.array(best_i.ravel(), kinds.field(1).type), pa.array(best_s.ravel())], kinds.names)
-
-        return pool.mapInArrow(run, schema)
-
-    for row in queries.select("qid", "vector").toLocalIterator():
-        rows.append(row)
-        if len(rows) == block:
-            parts.append(search(rows))
-            rows = []
-    if rows or not parts:
-        parts.append(search(rows) if rows else corpus.sparkSession.createDataFrame([], schema))
+    blocks = query_blocks(queries, centres, probes, block)
+
+    def compare(ids: pa.Array, column: pa.Array) -> Iterator[pa.RecordBatch]:
+        order = pc.sort_indices(ids)
+        ids, column = ids.take(order), column.take(order)
+        for size, (rows, x) in _vectors(column).items():
+            kept = _first_copies(x, k) if size and len(x) else np.arange(0)
+            rows, x = rows[kept], x[kept]
+            if not len(rows):
+                continue
+            of = None if centres is None else (x @ centres.T).argmax(axis=1) if size == centres.shape[1] else np.zeros(len(x), np.int64)
+            for path, length in blocks:
+                if length == size:
+                    names, q, lists = _block(path)
+                    who, row, score = _best(q, x, k, lists, of)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(who)).cast(kinds.field(0).type), ids.take(pa.array(rows[row])).cast(kinds.field(1).type), pa.array(score)], kinds.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += 8 * len(batch.column(1).flatten())
+            if size >= CHUNK:
+                yield from compare(pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(1) for b in held]))
+                held, size = [], 0
+        if held:
+            yield from compare(pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(1) for b in held]))
+
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pool.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def coarse_lists(corpus: DataFrame, lists: int = 64, sample: int = 50_000, rounds: int = 8, seed: int = 3) -> np.ndarray:
-    """Centroids of a bounded sample of unit vectors, for nearest_approximate."""
-    rows = corpus.select("id", "vector").orderBy(F.xxhash64("id")).limit(sample).toPandas()
-    x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
+    """Centroids of a bounded sample of unit vectors, for nearest_approximate; none for an empty table.
+
+    Vectors of another length than the first of the sample's are not in the sample.
+    """
+    rows = searchable(corpus, None).select("id", "vector").orderBy(F.xxhash64("id")).limit(sample).toPandas()
+    same = [v for v in rows["vector"] if len(v) == len(rows["vector"].iloc[0]) and not np.isnan(np.asarray(v, dtype=float)).any()]
+    if not same:
+        return np.zeros((0, 0))
+    x = np.stack(same).astype(np.float64)
     centres = x[np.random.default_rng(seed).permutation(len(x))[:lists]]
     for _ in range(rounds):
         near = (x @ centres.T).argmax(axis=1)
@@ -132,11 +224,7 @@ def assign(vectors: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFram
 
 def nearest_approximate(queries: DataFrame, corpus: DataFrame, centres: np.ndarray, k: int = 50, probes: int = 8) -> DataFrame:
     """Top k within the nearest lists only; every row is in a list.  State recall with the share of pairs compared."""
-    c = assign(corpus.select("id", "vector"), centres).select("id", F.col("vector").alias("v"), F.element_at("lists", 1).alias("list"))
-    q = assign(queries.select("qid", "vector"), centres, probes).select("qid", F.col("vector").alias("q"), F.explode("lists").alias("list"))
-    scored = c.join(q, "list").select("qid", "id", V.dot(F.col("v"), F.col("q")).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return nearest(queries, corpus, k, centres=centres if centres.size else None, probes=probes)
 
 
 def candidate_text(name: Column, summary: Column) -> Column:
@@ -174,8 +262,13 @@ def search(queries: DataFrame, corpus: DataFrame, as_of: Column, *, limit: int =
     top = nearest(queries, corpus, k, where)
     found = top.join(corpus.drop("vector"), "id").join(queries.drop("vector"), "qid")
     chosen = rerank(found, scorer, rerank_k if rerank_k is not None else s.rerank_top_k) if use else found.withColumns({"relevance": F.col("score"), "reranked": F.lit(False)})
+    return final_order(blended(chosen, as_of, s), limit)
+
+
+def final_order(blended_rows: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` of each query by the blend, equal ones in the order of retrieval, with `place`."""
     order = Window.partitionBy("qid").orderBy(F.desc("final"), "rank")
-    return blended(chosen, as_of, s).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    return blended_rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
 def retrieve_for_answer(queries: DataFrame, corpus: DataFrame, as_of: Column, *, use_rerank: bool | None = True, scorer: Reranker | None = None, where: Column | None = None, s: Settings = Settings()) -> DataFrame:

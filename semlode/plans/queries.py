@@ -11,7 +11,9 @@ from ..functions import ranking as R
 from ..functions import text as X
 from ..functions import vector as V
 from ..operators import documents, metrics, models, rag, search
-from ..sources import extract, sse, store
+from ..sources import extract, sse, store, watermark
+from ..sources.shared import materialize, new_path
+from ..streaming import ingest
 from . import staging as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,10 +38,10 @@ as_of = lambda: F.to_timestamp(F.lit(S.AS_OF))
 day = lambda c: F.date_format(c, "yyyy-MM-dd")
 
 
-@registered("@SELECT raw_name AS name, description, license, CAST(projects.sourcerank AS BIGINT) AS sourcerank, deps AS dependents, strftime(projects.ts, '%Y-%m-%d') AS released, coalesce(stars_count, 0) AS stars, projects.keywords FROM projects LEFT JOIN repo ON key = id WHERE platform = 'Pypi' AND description IS NOT NULL AND trim(description) <> '' AND length(description) > 5 AND projects.ts > TIMESTAMP '1970-01-01'")
+@registered("@SELECT raw_name AS name, description, license || '| ' AS licenses, CAST(projects.sourcerank AS BIGINT) AS sourcerank, deps AS dependents, strftime(projects.ts, '%Y-%m-%d') AS released, coalesce(stars_count, 0) AS stars, projects.keywords FROM projects LEFT JOIN repo ON key = id WHERE platform = 'Pypi' AND description IS NOT NULL AND trim(description) <> '' AND length(description) > 5 AND projects.ts > TIMESTAMP '1970-01-01'")
 def extract_left_join(spark, d):
     rows = extract.extract(S.projects(spark, d), S.repositories(spark, d))
-    return rows.select("name", "description", F.element_at("licenses", 1).alias("license"), "sourcerank", F.col("dependent_projects_count").alias("dependents"), day("latest_release_publish_timestamp").alias("released"), F.col("repository_stars_count").alias("stars"), "keywords")
+    return rows.select("name", "description", F.array_join("licenses", "|").alias("licenses"), "sourcerank", F.col("dependent_projects_count").alias("dependents"), day("latest_release_publish_timestamp").alias("released"), F.col("repository_stars_count").alias("stars"), "keywords")
 
 
 @registered("@SELECT count(*) AS n FROM projects WHERE platform = 'Pypi' AND description IS NOT NULL AND trim(description) <> '' AND length(description) > 5 AND ts > TIMESTAMP '1998-01-01'")
@@ -103,7 +105,7 @@ def upsert_merge(spark, d):
 
 @registered("SELECT event_type, strftime(max(ts), '%Y-%m-%d') AS watermark, count(*) AS processed FROM events GROUP BY 1")
 def max_watermark(spark, d):
-    return S.table(spark, d, "events").groupBy("event_type").agg(day(F.max("ts")).alias("watermark"), F.count(F.lit(1)).alias("processed"))
+    return ingest.progress(S.table(spark, d, "events"), "ts", "event_type").select("event_type", day("newest").alias("watermark"), F.col("n").alias("processed"))
 
 
 @registered("SELECT vec_id AS id, round(list_sum(list_transform(e, lambda x: x / sqrt(list_dot_product(e, e)))), 5) AS total, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings)")
@@ -112,34 +114,53 @@ def l2_normalize(spark, d):
     return e.select("id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), six(F.element_at("u", 1), "first"))
 
 
-@registered("SELECT g, round(m[1] / n, 6) AS first, round(m[2] / n, 6) AS second FROM (SELECT g, m, sqrt(m[1]*m[1] + m[2]*m[2]) AS n FROM (SELECT vec_id // 10 AS g, [sum(embedding[1]::DOUBLE) FILTER (vec_id % 10 < 7) / 7.0, sum(embedding[2]::DOUBLE) FILTER (vec_id % 10 < 7) / 7.0] AS m FROM embeddings GROUP BY 1))")
+@registered("""SELECT g, round(list_sum(list_transform(m, lambda x: x / n)), 5) AS total, round(m[1] / n, 6) AS first, round(m[-1] / n, 6) AS last FROM (SELECT g, m, sqrt(list_dot_product(m, m)) AS n FROM (
+  SELECT g, list(s ORDER BY i) AS m FROM (SELECT vec_id // 10 AS g, i, sum(e) FILTER (vec_id % 10 < 7) / 7.0 AS s FROM (
+    SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1))""")
 def mean_pool(spark, d):
-    e = S.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("g"), F.struct("vec_id", F.slice("embedding", 1, 2).alias("h"), F.when(F.col("vec_id") % 10 < 7, 1).otherwise(0).alias("m")).alias("t"))
+    """Ten vectors as the tokens of a text, seven of them under the mask."""
+    e = S.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("g"), F.struct("vec_id", F.col("embedding").alias("h"), F.when(F.col("vec_id") % 10 < 7, 1).otherwise(0).alias("m")).alias("t"))
     tokens = e.groupBy("g").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    return tokens.withColumn("p", V.mean_pool(F.col("t.h"), F.col("t.m"))).select("g", six(F.element_at("p", 1), "first"), six(F.element_at("p", 2), "second"))
+    p = tokens.withColumn("p", V.pool(F.col("t.h"), F.col("t.m"), "mean"))
+    return p.select("g", F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), six(F.element_at("p", 1), "first"), six(F.element_at("p", -1), "last"))
 
 
-@registered("@SELECT key AS id, rank, round(score, 6) AS score FROM knn WHERE qid = 7 AND rank <= 50")
+@registered("SELECT g, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, round(e[-1] / sqrt(list_dot_product(e, e)), 6) AS last FROM (SELECT vec_id // 10 AS g, list_transform(embedding, lambda x: x::DOUBLE * 2) AS e FROM embeddings WHERE vec_id % 10 = 0)")
+def cls_pool(spark, d):
+    e = S.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("g"), F.struct("vec_id", F.transform("embedding", lambda x: x.cast("double") * 2).alias("h")).alias("t"))
+    tokens = e.groupBy("g").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    p = tokens.withColumn("p", V.pool(F.col("t.h"), F.lit(None), "cls"))
+    return p.select("g", six(F.element_at("p", 1), "first"), six(F.element_at("p", -1), "last"))
+
+
+@registered("SELECT a.vec_id AS id, round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE * 5), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine_pairs(spark, d):
+    e = S.table(spark, d, "embeddings")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return e.join(after, "vec_id").select(F.col("vec_id").alias("id"), six(V.cosine(F.transform("embedding", lambda x: x.cast("double") * 5), F.col("b")), "cosine"))
+
+
+@registered("@SELECT qid, key AS id, rank, round(score, 6) AS score FROM knn WHERE rank <= 50")
 def cosine_topk(spark, d):
-    return search.nearest(S.query_vectors(spark, d).where("qid = 7"), S.corpus(spark, d)).select("id", F.col("rank").cast("bigint").alias("rank"), six(F.col("score"), "score"))
+    return search.nearest(S.query_vectors(spark, d), S.stored_corpus(spark, d)).select("qid", "id", F.col("rank").cast("bigint").alias("rank"), six(F.col("score"), "score"))
 
 
 @registered("@SELECT qid, key AS id, rank, round(score, 6) AS score FROM knn WHERE rank <= 10")
 def cosine_topk_multi(spark, d):
-    return search.nearest(S.query_vectors(spark, d), S.corpus(spark, d), 10).select("qid", "id", F.col("rank").cast("bigint").alias("rank"), six(F.col("score"), "score"))
+    return search.nearest(S.query_vectors(spark, d), S.stored_corpus(spark, d), 10).select("qid", "id", F.col("rank").cast("bigint").alias("rank"), six(F.col("score"), "score"))
 
 
 @registered("SELECT qid, id, rank, round(score, 6) AS score FROM (SELECT a.vec_id AS qid, b.vec_id AS id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 10")
 def blocked_topk(spark, d):
     e = S.table(spark, d, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    return search.nearest_blocked(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10).select("qid", "id", F.col("rank").cast("bigint").alias("rank"), six(F.col("score"), "score"))
+    return search.nearest(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10).select("qid", "id", F.col("rank").cast("bigint").alias("rank"), six(F.col("score"), "score"))
 
 
 @registered("@SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank, round(s, 6) AS score FROM (SELECT qid, corpus.key AS id, score AS s FROM scored JOIN corpus USING (key) WHERE stars >= 30 AND license = 'Brand#12') QUALIFY rank <= 10")
 def filtered_topk(spark, d):
     where = search.payload_filter(min_stars=30, license="Brand#12", requires_python="", active_within_days=30)
-    return search.nearest(S.query_vectors(spark, d), S.corpus(spark, d), 10, where).select("qid", "id", F.col("rank").cast("bigint").alias("rank"), six(F.col("score"), "score"))
+    return search.nearest(S.query_vectors(spark, d), S.stored_corpus(spark, d), 10, where).select("qid", "id", F.col("rank").cast("bigint").alias("rank"), six(F.col("score"), "score"))
 
 
 @registered("SELECT p_partkey AS id, round(CASE WHEN p_size - 20 > 0 THEN ln(1 + p_size - 20) ELSE 0 END, 6) AS value FROM part")
@@ -162,7 +183,7 @@ def recency_decay(spark, d):
 
 
 def _search(spark, d, **options):
-    return search.search(S.query_vectors(spark, d), S.corpus(spark, d), as_of(), **options)
+    return search.search(S.query_vectors(spark, d), S.stored_corpus(spark, d), as_of(), **options)
 
 
 @registered("@SELECT qid, key AS id, place, rank, round(score, 6) AS score, round(final, 6) AS final FROM top WHERE place <= 10")
@@ -216,27 +237,37 @@ def rag_prompt(spark, d):
     return rag.prompts(S.query_vectors(spark, d), _hits(spark, d))
 
 
-def _answers(spark, d):
+def _answers(hits):
     """Answers that name the first hit in another spelling, one that does not exist, and the third hit."""
-    h = _hits(spark, d).where("place IN (1, 3)").groupBy("qid").agg(F.max(F.when(F.col("place") == 1, F.struct("name", "summary"))).alias("a"), F.max(F.when(F.col("place") == 3, F.struct("name", "summary"))).alias("b"))
+    h = hits.where("place IN (1, 3)").groupBy("qid").agg(F.max(F.when(F.col("place") == 1, F.struct("name", "summary"))).alias("a"), F.max(F.when(F.col("place") == 3, F.struct("name", "summary"))).alias("b"))
     rec = lambda name, snippet: F.struct(name.alias("package"), F.lit(" fits ").alias("reason"), snippet.alias("cited_snippet"))
     body = F.to_json(F.struct(F.array(rec(F.upper("a.name"), F.upper(F.substring("a.summary", 1, 8))), rec(F.concat(F.lit("ghost-"), F.col("qid").cast("string")), F.lit("x")), rec(F.col("b.name"), F.lit("not there"))).alias("recommendations")))
-    return h.select("qid", F.when(F.col("qid") % 5 == 4, F.lit("not json")).otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```"))).alias("raw"))
+    return h.select("qid", F.when(F.floor(F.col("qid") / 20) % 5 == 4, F.lit("not json")).otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```"))).alias("raw"))
 
 
-@registered("@SELECT qid, CASE place WHEN 1 THEN 0 ELSE 2 END AS pos, name AS package, 'fits' AS reason, place = 1 AS found FROM top JOIN every USING (key) WHERE place IN (1, 3) AND qid % 5 <> 4")
+@registered("@SELECT qid, CASE place WHEN 1 THEN 0 ELSE 2 END AS pos, name AS package, 'fits' AS reason, place = 1 AS found FROM top JOIN every USING (key) WHERE place IN (1, 3) AND qid // 20 % 5 <> 4")
 def validate_grounded(spark, d):
-    return rag.grounded(_answers(spark, d), _hits(spark, d)).select("qid", "pos", "package", "reason", F.col("snippet_in_description").alias("found"))
+    h = materialize(_hits(spark, d), "hits")
+    return rag.grounded(_answers(h), h).select("qid", "pos", "package", "reason", F.col("snippet_in_description").alias("found"))
 
 
-@registered("@SELECT qid, 1 AS pos, 'ghost-' || qid AS name FROM top WHERE place = 1 AND qid % 5 <> 4")
+@registered("@SELECT qid, 1 AS pos, 'ghost-' || qid AS name FROM top WHERE place = 1 AND qid // 20 % 5 <> 4")
 def validate_dropped(spark, d):
-    return rag.dropped(_answers(spark, d), _hits(spark, d))
+    h = materialize(_hits(spark, d), "hits")
+    return rag.dropped(_answers(h), h)
+
+
+@registered("""@SELECT qid, CASE WHEN qid // 20 % 5 = 4 THEN 'not JSON' END AS parse_error, CASE WHEN qid // 20 % 5 = 4 THEN '' ELSE string_agg(name, '|' ORDER BY place) END AS packages,
+  CASE WHEN qid // 20 % 5 = 4 THEN '' ELSE 'ghost-' || qid END AS dropped FROM top JOIN every USING (key) WHERE place IN (1, 3) GROUP BY qid""")
+def grounded_results(spark, d):
+    """One row an answer: at most three recommendations, and what was dropped."""
+    h = materialize(_hits(spark, d), "hits")
+    return rag.results(_answers(h), h).select("qid", "parse_error", F.array_join("recommendations.package", "|").alias("packages"), F.array_join("dropped", "|").alias("dropped"))
 
 
-@registered("@SELECT qid, CASE WHEN qid % 5 = 4 THEN 'not JSON' END AS parse_error, CAST(CASE WHEN qid % 5 = 4 THEN 0 ELSE 3 END AS BIGINT) AS n FROM top WHERE place = 1")
+@registered("@SELECT qid, CASE WHEN qid // 20 % 5 = 4 THEN 'not JSON' END AS parse_error, CAST(CASE WHEN qid // 20 % 5 = 4 THEN 0 ELSE 3 END AS BIGINT) AS n FROM top WHERE place = 1")
 def parse_answers(spark, d):
-    return rag.parse_answers(_answers(spark, d)).select("qid", "parse_error", F.size("recommendations").cast("bigint").alias("n"))
+    return rag.parse_answers(_answers(_hits(spark, d))).select("qid", "parse_error", F.size("recommendations").cast("bigint").alias("n"))
 
 
 @registered("SELECT doc_id, n_chars > 60 AND contains(lower(regexp_replace(text, '\\s+', ' ', 'g')), lower(trim(regexp_replace(substr(text, 11, 40), '\\s+', ' ', 'g')))) AS found FROM documents")
@@ -257,10 +288,15 @@ def sse_parse(spark, d):
     return sse.parse(buffers)
 
 
-@registered("SELECT user_id AS id, arg_max(CAST(event_id AS VARCHAR), event_id) FILTER (event_type = 'click') AS ranked_list FROM events GROUP BY 1")
+@registered("""SELECT user_id AS id, arg_max(CAST(event_id AS VARCHAR), event_id) FILTER (event_id % 4 = 0) AS ranked_list, '[' || max(event_id) FILTER (event_id % 4 = 1) || ']' AS recommendations,
+  arg_max('["' || event_type || '"]', event_id) FILTER (event_id % 4 = 1) AS dropped, arg_max(CASE WHEN event_id % 3 = 0 THEN 'Generation failed.' ELSE 'e' || event_id END, event_id) FILTER (event_id % 4 = 2) AS error FROM events GROUP BY 1""")
 def sse_collapse(spark, d):
-    e = S.table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", "ranked_list").otherwise("other").alias("event"), F.col("event_id").cast("string").alias("data"))
-    return sse.collapse(e).select("id", "ranked_list")
+    """Events of every kind, the last of each counts; an error without words gets the fixed ones."""
+    n = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("ranked_list", "llm_done", "llm_error", "llm_delta")]), (n % 4 + 1).cast("int"))
+    data = F.when(n % 4 == 1, F.to_json(F.struct(F.array(n).alias("recommendations"), F.array("event_type").alias("dropped"))))
+    data = data.when(n % 4 == 2, F.to_json(F.struct(F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("e"), n.cast("string"))).alias("message")))).otherwise(n.cast("string"))
+    return sse.collapse(S.table(spark, d, "events").select(F.col("user_id").alias("id"), n.alias("seq"), kind.alias("event"), data.alias("data")))
 
 
 @registered("SELECT p_partkey AS id, round(CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE 1 / (1 + exp(p_size - 25.0)) END, 6) AS score FROM part")
@@ -302,8 +338,8 @@ LISTS, PROBES = 64, 44
 @registered()
 def ann_topk(spark, d):
     """Nearest lists only, for every query; tests/test_recall.py holds recall and the share of pairs compared."""
-    corpus = S.corpus(spark, d).select("id", "vector")
-    return search.nearest_approximate(S.every_query_vector(spark, d), corpus, search.coarse_lists(corpus, LISTS), 10, PROBES).select("qid", "id", "rank", six(F.col("score"), "score"))
+    corpus = S.stored_corpus(spark, d).select("id", "vector")
+    return search.nearest_approximate(S.query_vectors(spark, d), corpus, search.coarse_lists(corpus, LISTS), 10, PROBES).select("qid", "id", "rank", six(F.col("score"), "score"))
 
 
 @registered()
@@ -311,22 +347,186 @@ def embed_rerank(spark, d):
     """Texts through the stand-in models: embed, search, rerank."""
     embed = models.hashed_embedder(64)
     docs = embed(S.packages(spark, d), "document").withColumn("id", F.col("name"))
-    queries = embed(S.every_query_vector(spark, d).select("qid", "query"), "query")
+    queries = embed(S.query_vectors(spark, d).select("qid", "query"), "query")
     found = search.search(queries, docs, as_of(), use_rerank=True, scorer=models.overlap_scorer)
     return found.select("qid", "id", "place", six(F.col("final"), "final"))
 
 
-@registered()
-def stream_upsert(spark, d):
-    """Packages come as a stream of files and are upserted in micro-batches; the collection at the end."""
-    import uuid
+_POINT = f"(SELECT *, {_UUID} AS point_id FROM (SELECT *, sha1(from_hex('{X.NAMESPACE_DNS}') || encode('pypi:' || name)) AS h FROM doc))"
 
-    from ..streaming.ingest import Ingest, run_stream
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    root = f"{root}/semlode/stream-{uuid.uuid4().hex}"
+@registered(f"@SELECT point_id, name, sha256(document) AS content_hash, (SELECT strftime(max(ts), '%Y-%m-%d') FROM pkg) AS watermark, (SELECT count(*) FROM pkg) AS processed FROM {_POINT}")
+def stream_upsert(spark, d):
+    """Packages come as a stream of files and are upserted in micro-batches under a watermark; a second run of the stream finds nothing new."""
+    root = new_path(spark, "stream")
     rows = S.packages(spark, d).drop("document")
-    rows.write.parquet(f"{root}/in")
-    ingest = Ingest(store.Collection(spark, f"{root}/points", 16), models.hashed_embedder(16))
-    run_stream(spark, f"{root}/in", rows.schema, lambda s: s, ingest, f"{root}/checkpoint")
-    return ingest.collection.read().select("point_id", "payload.name", "payload.content_hash")
+    rows.repartition(3, "name").write.parquet(f"{root}/in")
+    run = ingest.Ingest(store.Collection(spark, f"{root}/points", 16, most_deltas=2), models.hashed_embedder(16), f"{root}/last.txt")
+    for _ in range(2):
+        ingest.run_stream(spark, f"{root}/in", rows.schema, lambda s: s, run, f"{root}/checkpoint")
+    saved = watermark.load(spark, f"{root}/last.txt")
+    return run.collection.read().select("point_id", "payload.name", "payload.content_hash", F.lit(saved).alias("watermark"), F.lit(run.processed).cast("bigint").alias("processed"))
+
+
+@registered(f"@SELECT point_id, name, 'new ' || summary AS summary FROM {_POINT} WHERE sourcerank % 3 = 0 UNION ALL SELECT point_id, name, summary FROM {_POINT} WHERE sourcerank % 3 <> 0")
+def collection_upsert(spark, d):
+    """A collection with a third of its rows replaced: read through base, deltas and a merge of both."""
+    made = store.Collection(spark, new_path(spark, "points"), 4, most_deltas=2)
+    packages = S.packages(spark, d).drop("document").withColumn("vector", F.array(*[F.lit(0.5)] * 4).cast("array<float>"))
+    for part in (packages, packages.where("sourcerank % 3 = 0").withColumn("summary", F.lit("old")), packages.where("sourcerank % 3 = 0").withColumn("summary", F.concat(F.lit("new "), "summary"))):
+        made.ensure()
+        made.upsert(store.points(part))
+    return made.read().select("point_id", "payload.name", "payload.summary")
+
+
+@registered("@SELECT raw_name AS name, coalesce(stars_count, 0) AS stars FROM projects LEFT JOIN repo ON key = id WHERE platform = 'Pypi' AND description IS NOT NULL AND trim(description) <> '' AND length(description) > 5 AND projects.ts > TIMESTAMP '1998-01-01'")
+def extract_by_name(spark, d):
+    """The extract over catalogue tables, with names and values bound as parameters."""
+    p = S.projects(spark, d)
+    p.withColumns({c: F.lit(None).cast("string") for c in ("homepage_url", "repository_url", "language", "versions_count", "dependent_repositories_count")}).createOrReplaceTempView("semlode_projects")
+    S.repositories(spark, d).createOrReplaceTempView("semlode_repositories")
+    return extract.extract_tables(spark, "semlode_projects", "semlode_repositories", S.SINCE).select("name", F.col("repository_stars_count").alias("stars"))
+
+
+@registered("SELECT event_id AS id, strftime(t, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(t) % 1000000 <> 0 THEN '.' || lpad(CAST(epoch_us(t) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00' AS iso FROM (SELECT event_id, date_trunc('second', ts) + to_microseconds(event_id % 3 * 1250) AS t FROM events)")
+def iso_times(spark, d):
+    t = F.timestamp_micros(F.unix_micros(F.date_trunc("second", F.col("ts").cast("timestamp"))) + F.col("event_id") % 3 * 1250)
+    return S.table(spark, d, "events").select(F.col("event_id").alias("id"), X.iso_time(t).alias("iso"))
+
+
+@registered("SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '2024-01-02 03:04:05' WHEN 1 THEN '2024-02-03 00:00:00' END AS time, CASE p_partkey % 5 WHEN 2 THEN '2024' WHEN 3 THEN 'soon' END AS raw FROM part")
+def parsed_times(spark, d):
+    """ISO date-times with Z, dates, bare years, other text and ''; what is not read is kept as text."""
+    given = F.element_at(F.array(*[F.lit(x) for x in ("2024-01-02T03:04:05Z", "2024-02-03", "2024", "soon", "")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    t = S.table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.time_or_text(given).alias("t"))
+    return t.select("id", F.date_format("t.time", "yyyy-MM-dd HH:mm:ss").alias("time"), F.col("t.raw").alias("raw"))
+
+
+@registered("SELECT p_partkey AS id, CASE WHEN ms < 1000 THEN ms || ' ms' ELSE printf('%.2f s', ms / 1000.0) END AS shown, round_even(p_partkey / 8.0, 1) AS tenth FROM (SELECT p_partkey, p_partkey * 10 AS ms FROM part)")
+def durations(spark, d):
+    k = F.col("p_partkey")
+    return S.table(spark, d, "part").select(k.alias("id"), X.duration(k * 10).alias("shown"), X.round_ms(k / 8.0).alias("tenth"))
+
+
+@registered("@SELECT name, 23 AS keys, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS released, CAST(stars AS VARCHAR) AS stars, sha256(document) AS hash FROM doc")
+def payload_json(spark, d):
+    """The payload as JSON: every key, also those that are null, times as text."""
+    p = S.packages(spark, d).select("name", documents.payload_json().alias("j"))
+    get = lambda k: F.get_json_object("j", f"$.{k}")
+    return p.select("name", F.size(F.json_object_keys("j")).alias("keys"), get("latest_release").alias("released"), get("stars").alias("stars"), get("content_hash").alias("hash"))
+
+
+_MANY = "array_to_string(list_transform(range(1, least({most}, {n}) + 1), lambda i: '{word}' || i), ', ')"
+
+
+@registered(f"""SELECT id, 'Package: p' || id || CASE WHEN id % 4 = 0 THEN '' WHEN id % 4 = 1 THEN chr(10) || 'Summary: ' ELSE chr(10) || 'Summary: about ' || id END
+  || CASE WHEN id % 30 = 0 THEN '' ELSE chr(10) || 'Keywords: ' || {_MANY.format(most=20, n='id % 30', word='k')} END || CASE WHEN id % 20 = 0 THEN '' ELSE chr(10) || 'Dependencies: ' || {_MANY.format(most=15, n='id % 20', word='d')} END
+  || CASE WHEN id % 13 = 0 THEN '' ELSE chr(10) || 'Category: ' || {_MANY.format(most=10, n='id % 13', word='c')} END AS document FROM (SELECT p_partkey AS id FROM part)""")
+def document_sections(spark, d):
+    """All five sections of a document, each also empty, and lists over their limits."""
+    k = F.col("p_partkey")
+    several = lambda n, word: F.transform(F.filter(F.sequence(F.lit(0), (k % n).cast("int")), lambda i: i > 0), lambda i: F.concat(F.lit(word), i.cast("string")))
+    summary = F.when(k % 4 == 0, "").when(k % 4 == 1, "  ").otherwise(F.concat(F.lit(" about "), k.cast("string"), F.lit(" ")))
+    rows = S.table(spark, d, "part").select(k.alias("id"), F.concat(F.lit("p"), k.cast("string")).alias("name"), summary.alias("summary"), several(30, "k").alias("keywords"), several(20, "d").alias("dependencies"), several(13, "c").alias("classifiers"))
+    return rows.select("id", documents.search_document().alias("document"))
+
+
+@registered("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END || CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 <> 0 THEN chr(10) ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_type END AS text FROM part")
+def candidate_texts(spark, d):
+    name, summary = F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")), F.when(F.col("p_partkey") % 2 != 0, F.concat(F.lit(" "), "p_type", F.lit("\n")))
+    return S.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.regexp_replace(search.candidate_text(name, summary), "\n ", "\n").alias("text"))
+
+
+@registered("""SELECT id, CASE WHEN id % 4 = 3 THEN 'raw' ELSE 'desc' END AS summary, CASE id % 3 WHEN 0 THEN 'a|b' WHEN 1 THEN '' ELSE 'x' END AS keywords, CASE WHEN id % 5 = 0 THEN 7 ELSE id % 5 END AS stars,
+  CASE WHEN id % 2 = 0 THEN 'https://pypi.org/project/n-' || id || '/' ELSE 'u' END AS url, CASE WHEN id % 6 = 0 THEN 'Pypi' ELSE 'Other' END AS platform FROM (SELECT p_partkey AS id FROM part)""")
+def row_fallbacks(spark, d):
+    """Empty text, 0 and null fall through to the second name of a field."""
+    k = F.col("p_partkey")
+    raw = S.table(spark, d, "part").select(
+        k.alias("id"), F.concat(F.lit(" N_"), k.cast("string")).alias("name"), F.when(k % 4 == 3, "").otherwise("desc").alias("description"), F.lit("raw").alias("summary"),
+        F.when(k % 3 == 0, "a; b,").when(k % 3 == 1, F.lit(None)).otherwise("x").alias("keywords"), (k % 5).alias("repository_stars_count"), F.lit(7).alias("stars"), F.when(k % 2 == 1, "u").otherwise("").alias("pypi_url"), F.when(k % 6 != 0, "Other").alias("platform"),
+    )
+    p = extract.to_packages(raw)
+    return p.select(F.substring("name", 3, 20).cast("bigint").alias("id"), "summary", F.array_join("keywords", "|").alias("keywords"), "stars", F.col("pypi_url").alias("url"), "platform")
+
+
+@registered("@SELECT qid, place, name, summary, round(final, 6) AS score, stars, 'https://pypi.org/project/' || name || '/' AS pypi_url FROM top JOIN every USING (key) WHERE place <= 8")
+def slim_hits(spark, d):
+    return search.slim(_hits(spark, d)).withColumns({"place": F.col("place").cast("bigint"), "score": F.round("score", 6)})
+
+
+@registered("@SELECT qid, place, printf('%2d. ', place) || name || printf('  score=%.3f', final) || '  \u2605' || stars || chr(10) || '    ' || summary || chr(10) || '    https://pypi.org/project/' || name || '/' AS text FROM top JOIN every USING (key) WHERE place <= 8 AND length(summary) <= 100")
+def result_text(spark, d):
+    """Hits as lines for a terminal."""
+    from ..cli import result_text as lines
+
+    return lines(search.slim(_hits(spark, d)).where(F.length("summary") <= 100)).withColumn("place", F.col("place").cast("bigint"))
+
+
+_LATE = "(SELECT *, CASE WHEN key % 3 = 0 THEN TIMESTAMP '2001-06-01' ELSE ts END AS seen, '>=3.' || key % 4 AS python FROM corpus)"
+
+
+@registered(f"@SELECT qid, id, rank, round(s, 6) AS score FROM (SELECT qid, key AS id, score AS s, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM scored JOIN {_LATE} USING (key) WHERE python = '>=3.2' AND stars >= 0) WHERE rank <= 10")
+def python_filter(spark, d):
+    """An exact match of requires_python, and min_stars 0, which is a filter too."""
+    corpus = S.stored_corpus(spark, d).withColumn("requires_python", F.concat(F.lit(">=3."), (F.col("id") % 4).cast("string")))
+    return search.nearest(S.query_vectors(spark, d), corpus, 10, search.payload_filter(min_stars=0, requires_python=">=3.2")).select("qid", "id", F.col("rank").cast("bigint").alias("rank"), six(F.col("score"), "score"))
+
+
+@registered(f"@SELECT key AS id, round(0.10 * exp(-greatest(epoch_us(TIMESTAMP '{S.AS_OF}') - epoch_us(seen), 0) / 86400000000.0 / 180.0), 6) AS recent FROM {_LATE}")
+def commit_recency(spark, d):
+    """The last commit counts where there is one, else the latest release."""
+    corpus = S.stored_corpus(spark, d).withColumn("last_commit", F.when(F.col("id") % 3 == 0, F.to_timestamp(F.lit("2001-06-01"))))
+    return search.blended(corpus.select("id", "last_commit", "latest_release", F.lit(0.0).alias("relevance")), as_of()).select("id", six(F.col("final"), "recent"))
+
+
+@registered("@SELECT qid, key AS id, place, round(final, 6) AS final FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, rank) AS place FROM blended WHERE rank <= 20) WHERE place <= 10")
+def rerank_fallback(spark, d):
+    """Reranking asked for without a scorer: candidates are cut to 20 all the same and keep their scores."""
+    return _search(spark, d, use_rerank=True).select("qid", "id", F.col("place").cast("bigint").alias("place"), six(F.col("final"), "final"))
+
+
+@registered("""@SELECT qid, key AS id, place, round(relevance, 6) AS relevance FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY 0.75 * relevance + 0.15 * CASE WHEN sr <> 0 THEN pop ELSE pop0 END + 0.10 * rec DESC, rank) AS place FROM (
+    SELECT *, CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 1.0 END AS relevance FROM (
+      SELECT *, min(s) OVER (PARTITION BY qid) AS lo, max(s) OVER (PARTITION BY qid) AS hi FROM (
+        SELECT knn.qid, knn.key, knn.rank, CAST((knn.key * 7919 + knn.qid) % 101 AS DOUBLE) AS s FROM knn WHERE rank <= 50))) JOIN algebra USING (key)) WHERE place <= 8""")
+def grounded_search(spark, d):
+    """The retrieval before generation: 50 retrieved, all 50 reranked, 8 kept."""
+    scorer = lambda c: c.withColumn("rerank_score", ((F.col("id") * 7919 + F.col("qid")) % 101).cast("double"))
+    found = search.retrieve_for_answer(S.query_vectors(spark, d), S.stored_corpus(spark, d), as_of(), scorer=scorer)
+    return found.select("qid", "id", F.col("place").cast("bigint").alias("place"), six(F.col("relevance"), "relevance"))
+
+
+@registered("""SELECT c_custkey AS qid, CAST(CASE WHEN c_custkey % 9 IN (0, 1, 2) THEN c_custkey % 9 + 1 ELSE 0 END AS BIGINT) AS n,
+  CASE WHEN c_custkey % 9 > 7 THEN 'not JSON' WHEN c_custkey % 9 > 2 THEN 'not a list of one to three recommendations' END AS parse_error FROM customer""")
+def answer_constraints(spark, d):
+    """One to three good items; four, none, a reason too long or empty, a quote too long, a missing name, broken JSON."""
+    k = F.col("c_custkey") % 9
+    item = lambda i: F.struct(F.when((k != 7) | (i > 1), F.lit("p")).alias("package"), F.repeat(F.lit("r"), F.when(k == 5, 801).when((k == 6) & (i == 1), 0).otherwise(800)).alias("reason"), F.repeat(F.lit("q"), F.when((k == 4) & (i == 1), 401).otherwise(400)).alias("cited_snippet"))
+    many = F.when(k < 3, k + 1).when(k == 3, 4).otherwise(2).cast("int")
+    body = F.to_json(F.struct(F.transform(F.sequence(F.lit(1), many), item).alias("recommendations")))
+    raw = S.table(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.when(k == 8, F.substring(body, 1, 50)).otherwise(body).alias("raw"))
+    return rag.parse_answers(raw).select("qid", F.size("recommendations").cast("bigint").alias("n"), "parse_error")
+
+
+@registered(f"""WITH q AS (SELECT DISTINCT conv_id AS qid FROM conversations), e AS (
+  SELECT qid, 0 AS seq, 'ranked_list' AS event, CAST(qid AS VARCHAR) AS data FROM q
+  UNION ALL SELECT conv_id, turn + 1, 'llm_delta', '{{"text":"' || turn || '"}}' FROM conversations WHERE conv_id % 3 <> 0
+  UNION ALL SELECT qid, 2000000000, 'llm_error', '{{"message":"{rag.NOTHING_FOUND}"}}' FROM q WHERE qid % 3 = 0
+  UNION ALL SELECT qid, 2000000000, 'llm_error', '{{"message":"late"}}' FROM q WHERE qid % 3 = 1
+  UNION ALL SELECT qid, 2000000000, 'llm_done', 'ok' FROM q WHERE qid % 3 = 2) SELECT qid, CAST(seq AS INTEGER) AS seq, event, data FROM e""")
+def answer_events(spark, d):
+    """What a client sees: a third of the queries found nothing, a third break off, a third are answered."""
+    talk = S.table(spark, d, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("seq"), F.col("turn").cast("string").alias("text"))
+    q = talk.select("qid").distinct()
+    ranked = q.select("qid", F.col("qid").cast("string").alias("data"), F.when(F.col("qid") % 3 == 0, 0).otherwise(5).alias("n"))
+    return rag.events(ranked, talk, q.select("qid", F.lit("ok").alias("data")), q.where("qid % 3 = 1").select("qid", F.lit("late").alias("message")))
+
+
+@registered("@SELECT name FROM doc WHERE sourcerank % 2 = 0")
+def changed_documents(spark, d):
+    """Only packages whose document differs from the stored one."""
+    old = S.packages(spark, d)
+    new = documents.transform(old.withColumn("summary", F.when(F.col("sourcerank") % 2 == 0, F.concat("summary", F.lit(" now"))).otherwise(F.col("summary"))))
+    return documents.changed(new, old).select("name")

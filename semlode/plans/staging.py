@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.documents import transform
 from ..sources.extract import extract, to_packages
+from ..sources.shared import hadoop_fs, new_path
 
 AS_OF = "2002-01-01 00:00:00"
 SINCE = "1998-01-01"
@@ -49,16 +50,35 @@ def as_queries(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").alias("qid"), F.concat(F.lit("part "), F.col("vec_id").cast("string")).alias("query"), F.col("embedding").alias("vector"))
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    """The fixed queries of the SQL below."""
-    return as_queries(table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n))
-
-
-def every_query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row whose id is divisible by 20: their number grows with the table."""
     return as_queries(table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0))
 
 
+_stored: dict[tuple, str] = {}
+
+
+def stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as a written table, as a collection is before it is searched.
+
+    Written once for a session, unless the tables it is made of have changed since or it is gone.
+    """
+    found = []
+    for name in ("part", "lineitem", "embeddings"):
+        _, where, fs = hadoop_fs(spark, f"{sf_dir}/{name}.parquet")
+        status = fs.getFileStatus(where)
+        found.append((status.getModificationTime(), status.getLen()))
+    key = (spark.sparkContext.applicationId, sf_dir, *found)
+    df = corpus(spark, sf_dir)
+    if key in _stored:
+        Path, _, fs = hadoop_fs(spark, _stored[key])
+        if fs.exists(Path(f"{_stored[key]}/_SUCCESS")):
+            return spark.read.schema(df.schema).parquet(_stored[key])
+    _stored[key] = new_path(spark, "corpus")
+    df.write.parquet(_stored[key])
+    return spark.read.schema(df.schema).parquet(_stored[key])
+
+
 SQL = f"""
 repo AS (SELECT l_partkey AS id, count(*) AS stars_count FROM lineitem GROUP BY 1),
 rel AS (SELECT l_partkey AS k, max(l_shipdate) AS ts, count(DISTINCT l_orderkey) AS deps FROM lineitem GROUP BY 1),
@@ -71,7 +91,7 @@ every AS (SELECT key, replace(lower(trim(raw_name)), '_', '-') AS name, descript
 pkg AS (SELECT * FROM every WHERE ts > TIMESTAMP '{SINCE}'),
 doc AS (SELECT *, 'Package: ' || name || chr(10) || 'Summary: ' || trim(summary) || chr(10) || 'Keywords: ' || replace(keywords, ' ; ', ', ') AS document FROM pkg),
 corpus AS (SELECT every.*, CAST(embedding AS DOUBLE[]) AS v FROM every JOIN embeddings ON vec_id = key),
-queries AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 20),
+queries AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0),
 scored AS (SELECT qid, key, list_dot_product(v, q) AS score FROM corpus, queries),
 knn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM scored),
 algebra AS (SELECT key, least((0.85 * m + 0.15 * CASE WHEN sourcerank > 0 THEN ln(1 + sourcerank) ELSE 0 END) / 11.5, 1.0) AS pop, least(m / 11.5, 1.0) AS pop0, rec, sourcerank AS sr

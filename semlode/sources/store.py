@@ -1,56 +1,77 @@
-"""A vector collection as Parquet snapshots: upsert by key, read the current one.
+"""A vector collection as Parquet: a base and the deltas since; upsert by key, read the current rows.
 
-A collection is a directory of numbered snapshots; a snapshot counts once its _SUCCESS file is there, so
-readers see the old one until the new one is whole, and nothing is overwritten while it is read.  Rows
-are hash-partitioned by point id into buckets, so an upsert shuffles by the key alone.
+A collection is a directory of numbered tables, `base-N` and `delta-N`; one counts once its _SUCCESS file is
+there, so readers see the state before until it is whole, and nothing is overwritten while it is read.  An
+upsert writes the rows given and nothing else; the newest row of a key wins when the collection is read.
+After MOST_DELTAS deltas they are merged into a new base.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import point_id
 from ..schemas import POINT
+from .shared import hadoop_fs
+
+#: Deltas that a read looks at, at most.
+MOST_DELTAS = 16
 
 
 class Collection:
-    def __init__(self, spark: SparkSession, path: str, dim: int = 384) -> None:
-        self.spark, self.path, self.dim = spark, path.rstrip("/"), dim
+    def __init__(self, spark: SparkSession, path: str, dim: int = 384, most_deltas: int = MOST_DELTAS) -> None:
+        self.spark, self.path, self.dim, self.most_deltas = spark, path.rstrip("/"), dim, most_deltas
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm.org.apache.hadoop.fs.Path, where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _tables(self) -> list[tuple[int, str]]:
+        """(number, name) of the whole tables from the newest base on, oldest first; none if there is no base."""
+        Path, where, fs = hadoop_fs(self.spark, self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+        whole = sorted((int(n.rpartition("-")[2]), n) for n in names if n.rpartition("-")[0] in ("base", "delta") and fs.exists(Path(f"{self.path}/{n}/_SUCCESS")))
+        bases = [i for i, (_, n) in enumerate(whole) if n.startswith("base")]
+        return whole[bases[-1] :] if bases else []
 
     def version(self) -> int:
-        """The newest whole snapshot, or -1."""
-        Path, where, fs = self._fs()
-        if not fs.exists(where):
-            return -1
-        names = [s.getPath().getName() for s in fs.listStatus(where)]
-        return max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(Path(f"{self.path}/{n}/_SUCCESS"))), default=-1)
+        """The number of the newest table, or -1."""
+        return max((n for n, _ in self._tables()), default=-1)
 
     def ensure(self) -> None:
         """Create the collection if there is none; one that exists is left alone."""
         if self.version() < 0:
-            self.spark.createDataFrame([], POINT).write.parquet(f"{self.path}/v0")
+            self.spark.createDataFrame([], POINT).write.parquet(f"{self.path}/base-0")
 
     def read(self) -> DataFrame:
-        """point_id, vector, payload; filters put on the payload reach the scan."""
+        """point_id, vector, payload.  Without deltas, filters on the payload reach the scan."""
         self.ensure()
-        return self.spark.read.schema(POINT).parquet(f"{self.path}/v{self.version()}")
+        tables = self._tables()
+        parts = [self.spark.read.schema(POINT).parquet(f"{self.path}/{name}").withColumn("__table", F.lit(n)) for n, name in tables]
+        if len(parts) == 1:
+            return parts[0].drop("__table")
+        return last_wins(reduce(DataFrame.unionByName, parts), ["point_id"], [F.desc("__table")]).drop("__table")
 
     def upsert(self, points: DataFrame) -> int:
-        """Replace the rows of the keys given, the latest of a key first; returns the new version."""
+        """Replace the rows of the keys given, the latest of a key first; returns the new version.
+
+        What an upsert that failed has left is written over.
+        """
         self.ensure()
         now = self.version()
         fresh = last_wins(points, ["point_id"], [F.col("payload.update_date").desc_nulls_last(), F.to_json("payload").desc()]).select("point_id", "vector", "payload")
         bad = F.raise_error(F.concat(F.lit("vector of another length: "), F.col("point_id")))
-        fresh = fresh.withColumn("vector", F.when(F.size("vector") == self.dim, F.col("vector")).otherwise(bad))
-        merged = self.read().join(fresh.select("point_id"), "point_id", "left_anti").unionByName(fresh)
-        merged.write.parquet(f"{self.path}/v{now + 1}")
-        return now + 1
+        fresh.withColumn("vector", F.when(F.size("vector") == self.dim, F.col("vector")).otherwise(bad)).write.mode("overwrite").parquet(f"{self.path}/delta-{now + 1}")
+        return self.compact() if len(self._tables()) - 1 > self.most_deltas else now + 1
+
+    def compact(self) -> int:
+        """Merge base and deltas into a new base and delete them; returns the new version."""
+        old = self._tables()
+        now = self.version() + 1
+        self.read().write.mode("overwrite").parquet(f"{self.path}/base-{now}")
+        Path, _, fs = hadoop_fs(self.spark, self.path)
+        for _, name in old:
+            fs.delete(Path(f"{self.path}/{name}"), True)
+        return now
 
 
 def points(packages: DataFrame) -> DataFrame:

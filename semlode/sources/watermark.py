@@ -7,23 +7,18 @@ from datetime import date, datetime
 from pyspark.sql import SparkSession
 
 from ..functions.text import watermark_text
-
-
-def _open(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+from .shared import hadoop_fs
 
 
 def load(spark: SparkSession, path: str, default: str | None = "1970-01-01") -> str | None:
-    jvm, where, fs = _open(spark, path)
+    _, where, fs = hadoop_fs(spark, path)
     if not fs.exists(where):
         return default
     return watermark_text("".join(r["value"] + "\n" for r in spark.read.text(path).collect()))
 
 
 def save(spark: SparkSession, path: str, value: str | date | datetime) -> None:
-    jvm, where, fs = _open(spark, path)
+    _, where, fs = hadoop_fs(spark, path)
     fs.mkdirs(where.getParent())
     with_end = bytearray((watermark_text(value) + "\n").encode())
     out = fs.create(where, True)

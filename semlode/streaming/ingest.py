@@ -13,6 +13,11 @@ from ..sources import watermark
 from ..sources.store import Collection, points
 
 
+def progress(rows: DataFrame, time: str, *by: str) -> DataFrame:
+    """n, how many rows there are, and newest, the latest of their times (nulls don't count)."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(time).alias("newest"))
+
+
 class Ingest:
     """Embeds and upserts batches; safe to repeat, as points are keyed by name."""
 
@@ -21,9 +26,13 @@ class Ingest:
         self.processed, self.newest = 0, None
 
     def batch(self, packages: DataFrame, _id: int = 0) -> None:
-        """One batch.  The count and newest date are a second look at two columns, after the upsert succeeded."""
-        self.collection.upsert(points(self.embed(transform(packages), "document")))
-        got = packages.agg(F.count(F.lit(1)).alias("n"), F.max("update_date").alias("newest")).first()
+        """One batch, evaluated once.  The count and newest date are taken after the upsert succeeded."""
+        packages = packages.persist()
+        try:
+            self.collection.upsert(points(self.embed(transform(packages), "document")))
+            got = progress(packages, "update_date").first()
+        finally:
+            packages.unpersist()
         self.processed += got["n"]
         if got["newest"] is not None:
             self.newest = max(self.newest, got["newest"]) if self.newest else got["newest"]
@@ -38,12 +47,27 @@ def start_watermark(spark: SparkSession, argument: str | None, path: str | None,
     return watermark_source(argument, watermark.load(spark, path, None) if path else None, s)
 
 
-def run_batch(packages: DataFrame, ingest: Ingest, before: str = "1970-01-01", settings: Settings | None = None) -> dict:
-    """All packages in one batch; settings are checked if they are given."""
+def dated_batches(packages: DataFrame, rows: int) -> list[DataFrame]:
+    """Batches of about `rows` packages in the order of update_date, those without a date first.
+
+    Rows of one instant stay together, so the watermark after a batch never passes over some of them.
+    """
+    n, seconds = packages.count(), F.col("update_date").cast("double")
+    parts = max(1, -(-n // rows))
+    dated = packages.where(seconds.isNotNull()).select(seconds.alias("t"))
+    bounds = sorted(set(dated.approxQuantile("t", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    edges = [None, *bounds, None]
+    between = lambda a, b: (F.lit(True) if a is None else seconds > a) & (F.lit(True) if b is None else seconds <= b)
+    return [packages.where(F.coalesce(between(a, b), F.lit(a is None))) for a, b in zip(edges, edges[1:])]
+
+
+def run_batch(packages: DataFrame, ingest: Ingest, before: str = "1970-01-01", settings: Settings | None = None, rows: int | None = None) -> dict:
+    """All packages, in one batch or in dated ones of about `rows`; settings are checked if they are given."""
     if settings is not None and (found := problems(settings)):
         raise ValueError("; ".join(found))
     ingest.collection.ensure()
-    ingest.batch(packages)
+    for part in dated_batches(packages, rows) if rows else [packages]:
+        ingest.batch(part)
     return ingest.stats(before)
 
 

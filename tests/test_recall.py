@@ -26,7 +26,7 @@ def test_ann_topk_recall(spark, sf):
     recall = hit / (10 * len(asked))
     centres = search.coarse_lists(corpus, Q.LISTS)
     in_list = search.assign(corpus, centres).groupBy(F.element_at("lists", 1).alias("list")).count()
-    probed = search.assign(S.every_query_vector(spark, d), centres, Q.PROBES).select(F.explode("lists").alias("list"))
+    probed = search.assign(S.query_vectors(spark, d), centres, Q.PROBES).select(F.explode("lists").alias("list"))
     share = probed.join(in_list, "list").agg(F.sum("count")).first()[0] / (len(asked) * len(ids))
     print(f"{sf}: {len(asked)} queries, {len(ids)} vectors, recall@10 {recall:.3f} with {share:.3f} of pairs compared")
     assert recall >= 0.9 and share < 0.75

@@ -29,7 +29,7 @@ def test_blocked_search_equals_brute_force(spark, kind):
     for q, v in asked:
         best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in known)[:4]
         want |= {(q, i, rank) for rank, (_, i) in enumerate(best, 1)}
-    blocked = search.nearest_blocked(queries, corpus, 4, where, block=3)
+    blocked = search.nearest(queries, corpus, 4, where, block=3)
     assert [t for _, t in blocked.dtypes[:2]] == [t for _, t in corpus.dtypes[:1]] * 2
     assert {(r["qid"], r["id"], r["rank"]) for r in blocked.collect()} == want
     assert {(r["qid"], r["id"], r["rank"]) for r in search.nearest(queries, corpus, 4, where).collect()} == want
@@ -38,5 +38,5 @@ def test_blocked_search_equals_brute_force(spark, kind):
 def test_no_queries_and_no_rows(spark):
     corpus = spark.createDataFrame([], "id string, vector array<float>")
     queries = spark.createDataFrame([("a", [1.0, 0.0])], "qid string, vector array<float>")
-    assert search.nearest_blocked(queries, corpus).count() == 0
-    assert search.nearest_blocked(queries.limit(0), corpus).count() == 0
+    assert search.nearest(queries, corpus).count() == 0
+    assert search.nearest(queries.limit(0), corpus).count() == 0

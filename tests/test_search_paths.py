@@ -1,11 +1,44 @@
-"""Both paths of nearest give the same for double vectors and queries without a vector."""
+"""One way of searching for any number of queries: double vectors, gaps, lengths, copies and many blocks."""
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from semlode.operators import search
 
 
-def test_paths_agree(spark):
-    corpus = spark.createDataFrame([(1, [0.1, 0.3]), (2, [0.1 + 1e-12, 0.3]), (3, [0.7, 0.1])], "id long, vector array<double>")
-    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 1.0])], "qid long, vector array<double>")
-    rows = lambda df: [(r["qid"], r["id"], r["rank"], round(r["score"], 14)) for r in df.orderBy("qid", "rank").collect()]
-    plain, blocked = rows(search.nearest(queries, corpus, 3)), rows(search.nearest_blocked(queries, corpus, 3))
-    assert plain == blocked and [r[:2] for r in plain] == [(1, 3), (1, 2), (1, 1), (3, 3), (3, 2), (3, 1)]
+def rows(df):
+    return [(r["qid"], r["id"], r["rank"], round(r["score"], 12)) for r in df.orderBy("qid", "rank").collect()]
+
+
+def test_double_vectors_and_gaps(spark):
+    corpus = spark.createDataFrame([(1, [0.1, 0.3]), (2, [0.1 + 1e-12, 0.3]), (3, [0.7, 0.1]), (4, [1.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, None), (None, [1.0, 1.0]), (8, [])], "id long, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 1.0]), (4, [2.0]), (5, [1.0, 2.0, 3.0]), (6, [])], "qid long, vector array<double>")
+    assert [r[:3] for r in rows(search.nearest(queries, corpus, 3))] == [(1, 3, 1), (1, 2, 2), (1, 1, 3), (3, 3, 1), (3, 2, 2), (3, 1, 3), (4, 4, 1)]
+
+
+@pytest.mark.parametrize("block", [2_000, 7])
+def test_many_queries_and_copies(spark, monkeypatch, block):
+    """Beyond 500 queries, in one block and in many, over vectors of which most are copies of one."""
+    monkeypatch.setattr(search, "CHUNK", 20_000)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 6))
+    x[50:300] = x[17]
+    ids, q = rng.permutation(400), rng.normal(size=(600, 6))
+    corpus = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, vector array<double>").repartition(5)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, vector array<double>")
+    want = []
+    for i, v in enumerate(q):
+        exact = (x * v).sum(axis=1)
+        want += [(i, int(ids[j]), place, round(float(exact[j]), 12)) for place, j in enumerate(np.lexsort((ids, -exact))[:9], 1)]
+    assert rows(search.nearest(queries, corpus, 9, block=block)) == want
+    centres = search.coarse_lists(corpus, 8)
+    assert rows(search.nearest_approximate(queries, corpus, centres, 9, probes=8)) == want
+    some = rows(search.nearest_approximate(queries, corpus, centres, 9, probes=4))
+    assert len({r[:2] for r in some} & {r[:2] for r in want}) > 0.7 * len(want)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "id long, vector array<float>")
+    one = spark.createDataFrame([(1, [1.0])], "qid long, vector array<float>")
+    centres = search.coarse_lists(none)
+    assert search.nearest_approximate(one, none, centres).count() == 0 and search.nearest(one.limit(0), one.select(F.col("qid").alias("id"), "vector")).count() == 0

@@ -4,11 +4,11 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
-from semlode.config import Settings, problems
+from semlode.config import Settings, api_url, billing_project, problems
 from semlode.functions import ranking as R
 from semlode.functions import text as X
 from semlode.operators import documents, rag
-from semlode.schemas import PACKAGE
+from semlode.schemas import PACKAGE, check_request
 from semlode.sources import sse, watermark
 from semlode.sources.extract import to_packages
 
@@ -64,26 +64,55 @@ RAW = '```json\n{"recommendations": [{"package": "httpx", "reason": "r", "cited_
 
 
 def test_grounding_both_ways(spark):
-    one_way = rag.check_one(RAW, HITS)
     hits = spark.createDataFrame([(1, i + 1, h["name"], h["summary"]) for i, h in enumerate(HITS)], "qid long, place int, name string, summary string")
+    judge = rag.judge_with(spark, hits)
+    one_way = judge(RAW)
     got = rag.results(spark.createDataFrame([(1, RAW), (2, "not json")], "qid long, raw string"), hits).collect()
     first = next(r for r in got if r["qid"] == 1)
     assert [(r["package"], r["snippet_in_description"]) for r in first["recommendations"]] == [(r["package"], r["snippet_in_description"]) for r in one_way["recommendations"]] == [("httpx", True), ("requests", False)]
     assert first["dropped"] == one_way["dropped"] == ["ghost"]
-    assert next(r for r in got if r["qid"] == 2)["parse_error"] and rag.check_one("not json", HITS)["parse_error"]
+    second = next(r for r in got if r["qid"] == 2)
+    assert second["parse_error"] and second["recommendations"] == [] and second["dropped"] == [] and judge("not json")["parse_error"]
 
 
-def test_events():
-    check = lambda raw: rag.check_one(raw, HITS)
-    frames = "".join(rag.generate({"results": HITS}, "p", lambda _: [RAW[:24], RAW[24:]], check))
+def kinds(frames):
+    return [e for e, _ in sse.take_frames("".join(frames))[1]]
+
+
+def test_events(spark):
+    hits = spark.createDataFrame([(i + 1, h["name"], h["summary"]) for i, h in enumerate(HITS)], "place int, name string, summary string")
+    judge = rag.judge_with(spark, hits)
+    frames = "".join(rag.live({"results": HITS}, "p", lambda _: [RAW[:24], RAW[24:]], judge))
     left, got = sse.take_frames(frames + "event: x\ndata: 1")
     assert [e for e, _ in got] == ["ranked_list", "llm_delta", "llm_delta", "llm_done"] and left == "event: x\ndata: 1" and got[-1][1]["dropped"] == ["ghost"]
-    assert [e for e, _ in sse.take_frames("".join(rag.generate({"results": []}, "p", None, check)))[1]] == ["ranked_list", "llm_error"]
+    assert kinds(rag.live({"results": []}, "p", None, judge)) == kinds(rag.live({"results": HITS}, "p", None, judge)) == ["ranked_list", "llm_error"]
 
     def broken(_):
         yield "a"
         raise OSError("gone")
 
+    ticks = iter(range(0, 1000, 25))
+    assert kinds(rag.live({"results": HITS}, "p", broken, judge)) == ["ranked_list", "llm_delta", "llm_error"]
+    assert kinds(rag.live({"results": HITS}, "p", lambda _: "abcdef", judge, clock=lambda: next(ticks))) == ["ranked_list", "llm_delta", "llm_error"]
     with pytest.raises(RuntimeError):
         list(rag.FallbackModel([broken, lambda _: ["b"]]).stream("p"))
     assert list(rag.FallbackModel([lambda _: iter(()).__next__(), lambda _: ["b"]]).stream("p")) == ["b"]
+
+
+def test_settings_from_file_and_environment(tmp_path):
+    (tmp_path / ".env").write_text("# comment\nGCP_PROJECT_ID='mine'\nRANK_ALPHA=0.5\nUNKNOWN=1\nexport RERANK_ENABLED_DEFAULT=true\n\n")
+    s = Settings.from_env({"RANK_ALPHA": "0.25"}, str(tmp_path / ".env"))
+    assert (s.gcp_project_id, s.rank_alpha, s.rerank_enabled_default, s.search_top_k) == ("mine", 0.25, True, 50)
+    assert Settings.from_env({}, str(tmp_path / "none")) == Settings()
+    good = Settings(gcp_project_id="mine", qdrant_api_key="k")
+    assert problems(good) == [] and len(problems(Settings(gcp_project_id="bigquery-public-data", qdrant_api_key="k"))) == 1
+    with pytest.raises(ValueError):
+        billing_project(Settings())
+
+
+def test_requests():
+    check_request(" ", 50)
+    for query, limit in (("", 5), ("x" * 513, 5), ("x", 0), ("x", 51)):
+        with pytest.raises(ValueError):
+            check_request(query, limit)
+    assert api_url("http://a/") == "http://a" and api_url(None, {"SEMLODE_API_URL": " http://b/ "}) == "http://b" and api_url(None, {}) == "http://localhost:8080"
