@@ -119,11 +119,12 @@ def own_license(files: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     tagged = F.regexp_replace(F.lower(F.regexp_extract("said", SPDX, 1)), SPDX_ENDING, "")
     known = template_table(files.sparkSession, dict.fromkeys(templates.keys() | full_texts().keys(), "")).select("license", F.lower("license").alias("tag"))
     tags = lines.select("line", tagged.alias("tag")).join(F.broadcast(known), "tag").select("line", F.struct(F.lit(-1.0).alias("at"), "license").alias("best"))
-    best = cosines(lines, templates, least, "license").unionByName(tags)
+    # Written, so that the join with a line that many files have may be split.
+    best = materialize(cosines(lines, templates, least, "license").unionByName(tags), "license-best")
     of_lines = said.join(best, "line").groupBy(*key).agg(F.min("best").alias("best"))
     bodies = files.where(whole & (F.col("text") != "")).select("file", "path", digest(F.col("text")).alias("body"), F.col("text").alias("said"))
     texts = bodies.groupBy(F.col("body").alias("line")).agg(F.count(F.lit(1)).alias("files"), F.first("said").alias("said"))
-    of_whole = bodies.select(*key, F.col("body").alias("line")).join(cosines(texts, full_texts(), WHOLE, "license-whole"), "line").groupBy(*key).agg(F.min("best").alias("best"))
+    of_whole = bodies.select(*key, F.col("body").alias("line")).join(materialize(cosines(texts, full_texts(), WHOLE, "license-whole"), "license-bodies-best"), "line").groupBy(*key).agg(F.min("best").alias("best"))
     both = of_lines.withColumn("after", F.lit(1)).unionByName(of_whole.withColumn("after", F.lit(0)))
     found = both.groupBy(*key).agg(F.min_by("best", "after").alias("best"))
     return materialize(found.select(*key, F.col("best.license").alias("license"), (-F.col("best.at")).alias("score")), "license-own")
