@@ -170,3 +170,54 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     return scan(document_files(docs)).select(F.col("file").alias("doc_id"), "path", "license", "score", "inherited", "inherited_from")
+
+
+def oracle() -> str:
+    """DuckDB SQL of the query.  A sentence ends where a line feed is put in, as DuckDB's patterns don't look behind."""
+    values = lambda texts: ", ".join("(" + ", ".join(f"'{x.replace(chr(39), 2 * chr(39))}'" for x in t) + ")" for t in sorted(texts.items()))
+    word = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+
+    def best(texts: str, templates: dict[str, str], least: float) -> str:
+        return f"""
+ WITH terms AS (SELECT line, files, word, count(*) AS tf FROM (SELECT line, files, unnest(regexp_extract_all(lower(said), '{word}')) AS word FROM {texts}) GROUP BY ALL),
+ bodies AS (SELECT license, word, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(body), '{word}')) AS word FROM (VALUES {values(templates)}) AS v(license, body)) GROUP BY ALL),
+ counted AS (SELECT word, sum(df) AS df FROM (SELECT word, files AS df FROM terms UNION ALL SELECT word, 1 FROM bodies) GROUP BY word),
+ idf AS (SELECT word, ln(((SELECT coalesce(sum(files), 0) FROM {texts}) + {len(templates)} + 1) / (df + 1)) + 1 AS idf FROM counted),
+ a AS (SELECT line, word, tf * idf AS w FROM terms JOIN idf USING (word)),
+ b AS (SELECT license, word, tf * idf AS w FROM bodies JOIN idf USING (word)),
+ dots AS (SELECT line, license, sum(a.w * b.w) AS dot FROM a JOIN b USING (word) GROUP BY ALL),
+ scored AS (SELECT line, license, round(dot / (n1 * n2), 6) AS score FROM dots
+  JOIN (SELECT line, sqrt(sum(w * w)) AS n1 FROM a GROUP BY line) USING (line) JOIN (SELECT license, sqrt(sum(w * w)) AS n2 FROM b GROUP BY license) USING (license))
+ SELECT line, license, score FROM scored WHERE score >= {least}"""
+
+    known = ", ".join(f"('{x}')" for x in sorted(TEMPLATES.keys() | full_texts().keys()))
+    own = "SELECT doc_id, path, body, arg_min(license, (-score, license)) AS license, max(score) AS score"
+    return rf"""
+WITH files AS (
+ SELECT doc_id, concat_ws('/', 'corpus', (doc_id // 64)::VARCHAR, CASE WHEN doc_id % 64 = 0 THEN 'LICENSE' ELSE 'src/' || doc_id || '.txt' END) AS path, text, md5(coalesce(text, '')) AS body
+ FROM documents),
+placed AS (SELECT *, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir, coalesce(regexp_matches(path, '{LICENSE_FILE}'), false) AS whole FROM files),
+said AS (
+ SELECT *, md5(said) AS line FROM (
+  SELECT doc_id, path, body, whole, unnest(string_split(CASE WHEN whole THEN text ELSE regexp_replace(text, '([.])[ ]+([A-Z])', '\1' || chr(10) || '\2', 'g') END, chr(10))) AS said FROM placed)
+ WHERE said <> '' AND (whole OR regexp_matches(said, '{CUE}'))),
+lines AS (SELECT line, count(*) AS files, any_value(said) AS said FROM said GROUP BY line),
+whole_texts AS (SELECT body AS line, count(*) AS files, any_value(text) AS said FROM placed WHERE whole AND text <> '' GROUP BY body),
+of_line AS ({best("lines", TEMPLATES, 0.5)}
+ UNION ALL SELECT line, license, 1.0 FROM (SELECT line, regexp_replace(lower(regexp_extract(said, '{SPDX}', 1)), '{SPDX_ENDING}', '') AS tag FROM lines) JOIN (VALUES {known}) AS k(license) ON lower(license) = tag),
+of_whole AS ({best("whole_texts", full_texts(), WHOLE)}),
+own AS (
+ SELECT doc_id, path, body, arg_min(license, after) AS license, arg_min(score, after) AS score FROM (
+  SELECT *, 1 AS after FROM ({own} FROM said JOIN of_line USING (line) GROUP BY doc_id, path, body)
+  UNION ALL SELECT *, 0 AS after FROM ({own} FROM placed JOIN of_whole ON line = body WHERE whole GROUP BY doc_id, path, body))
+ GROUP BY doc_id, path, body),
+given AS (
+ SELECT dir, arg_min(path, (-score, path, license)) AS path, arg_min(license, (-score, path, license)) AS license
+ FROM (SELECT DISTINCT doc_id, path, body, dir FROM placed WHERE whole) JOIN own USING (doc_id, path, body) GROUP BY dir),
+above AS (
+ SELECT place, array_to_string(parts[1:k], '/') AS dir, k FROM (
+  SELECT place, parts, unnest(range(0, len(parts))) AS k FROM (SELECT DISTINCT dir AS place, string_split(dir || '/x', '/') AS parts FROM placed))),
+nearest AS (SELECT place, arg_max(license, k) AS license, arg_max(path, k) AS path FROM above JOIN given USING (dir) GROUP BY place)
+SELECT p.doc_id, p.path, coalesce(o.license, n.license) AS license, o.score, o.license IS NULL AND n.path IS NOT NULL AS inherited, CASE WHEN o.license IS NULL THEN n.path END AS inherited_from
+FROM placed AS p LEFT JOIN own AS o ON o.doc_id IS NOT DISTINCT FROM p.doc_id AND o.path = p.path AND o.body = p.body LEFT JOIN nearest AS n ON n.place = p.dir
+"""

@@ -59,4 +59,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
-ORACLE = {"op1_mixing": mixing.ORACLE, "op2_chat": chat.ORACLE, "op3_jaccard": jaccard.ORACLE, "op10_decontamination": decontaminate.ORACLE}
+ORACLE = {
+    "op1_mixing": mixing.ORACLE,
+    "op2_chat": chat.ORACLE,
+    "op3_jaccard": jaccard.ORACLE,
+    "op7_licenses": licenses.oracle(),
+    "op10_decontamination": decontaminate.ORACLE,
+}

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from semlode.llm import licenses
 from semlode.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -19,3 +20,23 @@ def test_query(spark, name):
     want = sorted((dict(zip(names, r)) for r in rel.fetchall()), key=lambda r: repr(sorted(r.items())))
     got = sorted((r.asDict() for r in df.collect()), key=lambda r: repr(sorted(r.items())))
     assert want and got == want
+
+
+def test_licenses_on_odd_files(spark, tmp_path):
+    texts, mit = licenses.full_texts(), licenses.TEMPLATES["MIT"]
+    files = [
+        (0, texts["GPL-2.0"]), (1, "code"), (2, f"Prose here. {mit}  More prose. Copyright me."), (3, None), (3, None), (5, ""), (6, "x = 1 // SPDX-License-Identifier: (GPL-3.0-or-later)"),
+        (64, f"{mit}\n\nwords"), (64, texts["BSD-3-Clause"]), (65, "é. Ünter"), (128, None), (129, "license " * 2000), (192, "SPDX-License-Identifier: no-such"), (193, "It's LICENCE, spdx"),
+        (256, mit), (256, mit), (257, None), (None, mit), (None, mit), (None, None), (320, texts["AGPL-3.0"].replace("\n", " ")), (321, "\n. \n"),
+    ]
+    docs = spark.createDataFrame(files, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    rel = con.execute(ORACLE["op7_licenses"])
+    names = [d[0] for d in rel.description]
+    want = sorted(rel.fetchall(), key=repr)
+    got = sorted((tuple(r) for r in licenses.query(docs).select(*names).collect()), key=repr)
+    assert got == want and len(got) == len(files)
+    of = {r[0]: r[2] for r in got if r[0] is not None}
+    assert of[0] == of[1] == "GPL-2.0" and of[2] == of[256] == of[257] == "MIT" and of[6] == "GPL-3.0" and of[129] is None and of[320] == of[321] == "AGPL-3.0"
