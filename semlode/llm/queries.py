@@ -64,5 +64,6 @@ ORACLE = {
     "op2_chat": chat.ORACLE,
     "op3_jaccard": jaccard.ORACLE,
     "op7_licenses": licenses.oracle(),
+    "op9_secrets": secrets.oracle(),
     "op10_decontamination": decontaminate.ORACLE,
 }

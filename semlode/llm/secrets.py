@@ -264,3 +264,43 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, block_bytes: int = 4 << 20)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+
+
+def _for_sql(rule: Rule) -> tuple[str, int]:
+    """A rule for DuckDB, and by how many characters its matches begin early.
+
+    Its patterns fold case by Unicode and don't look behind: letters of either case are written out, and what may not
+    stand before a match becomes a character of the match.
+    """
+    pattern = _compiled(rule).pattern.replace(r"\s", r"\x09-\x0D\x20")
+    if rule.ignore_case:
+        words, rest = pattern.split(")", 1)
+        pattern = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", words) + ")" + rest
+    behind = pattern.startswith("(?<![")
+    if behind:
+        pattern = pattern.replace("(?<![", "[^", 1).replace("])", "]", 1)
+    return pattern.replace("'", "''"), int(behind)
+
+
+def oracle(rules: list[Rule] = RULES) -> str:
+    """DuckDB SQL of scan.  A place is the length of all gaps and matches before it; a line feed put before each text is what may precede a match."""
+    found = []
+    for k, rule in enumerate(rules):
+        pattern, early = _for_sql(rule)
+        passes = f"length(regexp_extract(m, '{pattern}', {rule.group})) >= {rule.least}" if rule.least else "true"
+        found.append(f"""
+ SELECT n, {k} AS k, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, after - length(m) + {early} - 1 AS start, after - 1 AS stop FROM (
+  SELECT n, m, sum(length(gap) + length(m)) OVER (PARTITION BY n ORDER BY i) AS after FROM (
+   SELECT n, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap FROM (
+    SELECT n, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gaps FROM texts)))
+ WHERE {passes}""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in ("assign", "access", "hex"))
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS n, doc_id, chr(10) || coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(found)}),
+of_text AS (
+ SELECT n, {counts}, string_agg(said, ',' ORDER BY start, k) FILTER (base) AS base, string_agg(said, ',' ORDER BY start, k) AS spans
+ FROM (SELECT *, concat(kind, ':', start::BIGINT, ':', stop::BIGINT) AS said FROM found) GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN of_text USING (n)
+"""

@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from semlode.llm import licenses
+from semlode.llm import licenses, secrets
 from semlode.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -40,3 +40,20 @@ def test_licenses_on_odd_files(spark, tmp_path):
     assert got == want and len(got) == len(files)
     of = {r[0]: r[2] for r in got if r[0] is not None}
     assert of[0] == of[1] == "GPL-2.0" and of[2] == of[256] == of[257] == "MIT" and of[6] == "GPL-3.0" and of[129] is None and of[320] == of[321] == "AGPL-3.0"
+
+
+def test_secrets_on_odd_texts(spark, tmp_path):
+    jwt = "eyJab.eyJcd.ef"
+    texts = [
+        "TOKEN='abcdef'", "api_key: abc api_KEY=abcdefg", "AKIA" + "A" * 15, "AKIA" + "A" * 16, "é" + "0f" * 12, "0f" * 11 + "0", "paſſword=abcdefg", "toKen=abcdefg", "PASSWORD=" + "a" * 24, "token=",
+        "-----BEGIN RSA PRIVATE KEY-----", "secret\n=abcdef", "secret  =  =abcdef", "ghp_" + "a1" * 20, f"{jwt} {jwt}.{jwt} x{jwt}\t{jwt}", "http://a:b@c http://d:e@f,http://g:h@i/xftp://j:k@l",
+        "a://b\x0bc:d@e a://b:c\x0b@e a://é:ü@日本/", "", None, None, "xoxb-1234567890 AIza" + "x" * 36, "token=abcdefsecret=ghijkl secret:'x.y-z_0'", "x\x00token=abcdef\x01", "0f" * 12 + "g" + "0f" * 13, "DEADBEEF" * 4,
+    ]
+    docs = spark.createDataFrame([(i // 2 or None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    rel = con.execute(ORACLE["op9_secrets"])
+    names = [d[0] for d in rel.description]
+    got = sorted((tuple(r) for r in secrets.scan(docs).select(*names).collect()), key=repr)
+    assert got == sorted(rel.fetchall(), key=repr) and len(got) == len(texts)
