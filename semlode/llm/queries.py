@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, licenses, media, mixing, quality, secrets, tokens, toxicity
+from . import chat, decontaminate, jaccard, licenses, media, mixing, quality, secrets, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.query(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_chat, op3_jaccard, op4_media, op5_tokens, op6_toxicity, op7_licenses, op8_quality, op9_secrets, op10_decontamination)
+    f.__name__: f for f in (op1_mixing, op2_chat, op3_jaccard, op4_media, op5_tokens, op6_toxicity, op7_licenses, op8_quality, op9_secrets, op10_decontamination, op11_simhash)
 }
 
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
