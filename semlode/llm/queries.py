@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, licenses, media, mixing, periodic, quality, secrets, simhash, tokens, toxicity
+from . import align, chat, decontaminate, jaccard, licenses, media, mixing, periodic, quality, secrets, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +58,16 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(_table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_table(spark, sf_dir, "documents"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.query(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_chat, op3_jaccard, op4_media, op5_tokens, op6_toxicity, op7_licenses, op8_quality, op9_secrets, op10_decontamination, op11_simhash, op13_runs)
+    f.__name__: f for f in (op1_mixing, op2_chat, op3_jaccard, op4_media, op5_tokens, op6_toxicity, op7_licenses, op8_quality, op9_secrets, op10_decontamination, op11_simhash, op12_alignment, op13_runs)
 }
 
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
