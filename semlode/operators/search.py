@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from ..sources.shared import get_file, new_path, put_file
 
 #: Queries of a block, and bytes of vectors that a task compares with the blocks at a time.
 BLOCK, CHUNK = 2_000, 32 << 20
+#: Bytes of the scores of one block that a task has at a time, and of query blocks that a worker keeps.
+MATRIX, KEPT = 32 << 20, 128 << 20
 
 #: (query, document) pairs to a table with a column rerank_score.
 Reranker = Callable[[DataFrame], DataFrame]
@@ -45,22 +48,23 @@ def searchable(corpus: DataFrame, where: Column | None) -> DataFrame:
     return pool.where(F.col("id").isNotNull() & F.col("vector").isNotNull())
 
 
-def _vectors(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and matrix of the vectors of each length; those with a null or NaN in them are left out."""
+def vectors_of(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and matrix of the vectors of each length; those with a null, NaN or infinity in them are left out."""
     sizes, flat = pc.list_value_length(column).to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     first, out = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), {}
     for size in np.unique(sizes):
         rows = np.flatnonzero(sizes == size)
         x = flat[first[rows][:, None] + np.arange(int(size))]
-        whole = ~np.isnan(x).any(axis=1)
+        whole = np.isfinite(x).all(axis=1)
         out[int(size)] = rows[whole], x[whole]
     return out
 
 
-def query_blocks(queries: DataFrame, centres: np.ndarray | None = None, probes: int = 0, block: int = BLOCK) -> list[tuple[str, int]]:
-    """Write the queries to the shared folder, `block` of one length at most to a file; (path, length) of each.
+def query_blocks(queries: DataFrame, centres: np.ndarray | None = None, probes: int = 0, block: int = BLOCK) -> list[tuple[str, int, list[int]]]:
+    """Write the queries to the shared folder, `block` of one length at most to a file; (path, length, lists) of each.
 
-    The executors write; a short row a block comes back.  With centres, each query's nearest lists are written too.
+    The executors write; a short row a block comes back.  With centres, each query's nearest lists are written
+    too, and `lists` are those of all its queries.
     """
     spark = queries.sparkSession
     n, root = queries.count(), new_path(spark, "queries")
@@ -70,7 +74,7 @@ def query_blocks(queries: DataFrame, centres: np.ndarray | None = None, probes:
 
         def put(size: int) -> pa.RecordBatch:
             ids, x = pa.concat_arrays([i for i, _ in held[size]]), np.concatenate([v for _, v in held.pop(size)])
-            table = {"qid": ids, "vector": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), size) if size else pa.nulls(len(x))}
+            table, near = {"qid": ids, "vector": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), size) if size else pa.nulls(len(x))}, np.zeros((0, 0), np.int32)
             if centres is not None:
                 near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32) if size == centres.shape[1] else np.zeros((len(x), 0), np.int32)
                 table["lists"] = pa.array(list(near), pa.list_(pa.int32()))
@@ -79,10 +83,10 @@ def query_blocks(queries: DataFrame, centres: np.ndarray | None = None, probes:
             with pa.ipc.new_file(out, batch.schema) as file:
                 file.write_batch(batch)
             put_file(path, out.getvalue().to_pybytes())
-            return pa.RecordBatch.from_pydict({"path": pa.array([path]), "size": pa.array([size], pa.int64())})
+            return pa.RecordBatch.from_pydict({"path": pa.array([path]), "size": pa.array([size], pa.int64()), "lists": pa.array([np.unique(near).tolist()], pa.list_(pa.int32()))})
 
         for batch in batches:
-            for size, (rows, x) in _vectors(batch.column(1)).items():
+            for size, (rows, x) in vectors_of(batch.column(1)).items():
                 for at in range(0, len(rows), block):
                     part = slice(at, at + block)
                     if size in held and sum(len(v) for _, v in held[size]) + len(x[part]) > block:
@@ -92,16 +96,24 @@ def query_blocks(queries: DataFrame, centres: np.ndarray | None = None, probes:
             yield put(size)
 
     spread = queries.select("qid", "vector").repartition(max(1, -(-n // block)))
-    return [(r["path"], r["size"]) for r in spread.mapInArrow(write, "path string, size long").collect()]
+    return [(r["path"], r["size"], r["lists"]) for r in spread.mapInArrow(write, "path string, size long, lists array<int>").collect()]
 
 
-@lru_cache(maxsize=2)
-def _block(path: str) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
-    table = pa.ipc.open_file(get_file(path)).read_all().combine_chunks()
-    vector = table.column("vector").combine_chunks()
-    x = vector.flatten().to_numpy(zero_copy_only=False).reshape(len(vector), -1)
-    lists = [np.array(v) for v in table.column("lists").to_pylist()] if "lists" in table.column_names else []
-    return table.column("qid").combine_chunks(), x, lists
+_held: OrderedDict[str, tuple] = OrderedDict()
+
+
+def held_block(path: str) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
+    """Names, vectors and lists of a block of queries; a worker keeps those used last, up to KEPT bytes."""
+    if path not in _held:
+        table = pa.ipc.open_file(get_file(path)).read_all().combine_chunks()
+        vector = table.column("vector").combine_chunks()
+        x = vector.flatten().to_numpy(zero_copy_only=False).reshape(len(vector), -1)
+        lists = [np.array(v) for v in table.column("lists").to_pylist()] if "lists" in table.column_names else []
+        while _held and sum(b[1].nbytes for b in _held.values()) + x.nbytes > KEPT:
+            _held.popitem(last=False)
+        _held[path] = table.column("qid").combine_chunks(), x, lists
+    _held.move_to_end(path)
+    return _held[path]
 
 
 def _first_copies(x: np.ndarray, k: int) -> np.ndarray:
@@ -113,65 +125,65 @@ def _first_copies(x: np.ndarray, k: int) -> np.ndarray:
     return np.sort(order[place < k])
 
 
-def _best(q: np.ndarray, x: np.ndarray, k: int, lists: list[np.ndarray], of: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the k best rows of x for each query; of equal scores the first row goes first.
-
-    The matrix product only chooses candidates; their scores are summed alike for all pairs, so that equal
-    vectors have equal scores wherever they stand.
-    """
-    if of is None:
-        s = q @ x.T
-    else:
-        s = np.full((len(q), len(x)), -np.inf)
-        asks = np.zeros((len(q), int(of.max()) + 1), dtype=bool)
-        for i, near in enumerate(lists):
-            asks[i, near[near < asks.shape[1]]] = True
-        for name in np.unique(of):
-            who, rows = np.flatnonzero(asks[:, name]), np.flatnonzero(of == name)
-            s[np.ix_(who, rows)] = q[who] @ x[rows].T
-    low = np.full(len(q), -np.inf)
-    if len(x) > k:
-        slack = 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
-        low = np.partition(s, len(x) - k, axis=1)[:, len(x) - k] - slack
-    who, row = np.nonzero((s >= low[:, None]) & (s > -np.inf))
-    score = np.concatenate([np.zeros(0), *[(q[who[i : i + 50_000]] * x[row[i : i + 50_000]]).sum(axis=1) for i in range(0, len(who), 50_000)]])
+def _first(who: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query; of equal scores the first row goes first."""
     order = np.lexsort((row, -score, who))
     who, row, score = who[order], row[order], score[order]
     place = np.arange(len(who)) - np.searchsorted(who, who)
     return who[place < k], row[place < k], score[place < k]
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int = 50, where: Column | None = None, centres: np.ndarray | None = None, probes: int = 0, block: int = BLOCK) -> DataFrame:
+def _best(q: np.ndarray, x: np.ndarray, k: int, matrix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best rows of x for each query, with `matrix` bytes of scores at a time.
+
+    The matrix product only chooses candidates; their scores are summed alike for all pairs, so that equal
+    vectors have equal scores wherever they stand.
+    """
+    step, out = max(1, matrix // (8 * max(1, len(q)))), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    low, length = np.full(len(q), -np.inf), np.linalg.norm(q, axis=1)
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        s = q @ part.T
+        if len(part) > k:
+            # No row below the k-th best so far is among the k best, but for the rounding of products.
+            kth = np.partition(s, len(part) - k, axis=1)[:, len(part) - k]
+            np.maximum(low, kth - 1e-9 * length * np.linalg.norm(part, axis=1).max(), out=low)
+        who, row = np.nonzero(s >= low[:, None])
+        score = np.concatenate([np.zeros(0), *[(q[who[i : i + 50_000]] * part[row[i : i + 50_000]]).sum(axis=1) for i in range(0, len(who), 50_000)]])
+        out = _first(*[np.concatenate(c) for c in zip(out, (who, row + at, score))], k)
+    return out
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = 50, where: Column | None = None, block: int = BLOCK) -> DataFrame:
     """Cosine top k: queries (qid, vector), corpus (id, vector), of unit length, to qid, id, score, rank.
 
     One way for any number of queries: they are written in blocks, and each task compares its vectors, a
     bounded chunk at a time, with one block after the other by matrix products and passes on k rows a query
     and chunk.  The corpus is read once and never shuffled, nor sent anywhere.  The filter is applied before
-    the search.  With centres, only vectors of the `probes` lists nearest to a query are compared with it.
+    the search.  A task holds CHUNK bytes of vectors, MATRIX bytes of scores and KEPT bytes of blocks.
 
-    Rows without an id or a vector, and vectors with a null or NaN in them, are not searched; queries without a
-    vector are not answered; vectors of different lengths are never compared.  All sums are in double
+    Rows without an id or a vector, and vectors with a null, NaN or infinity in them, are not searched; queries
+    without such a vector are not answered; vectors of different lengths are never compared.  All sums are in double
     precision; equal scores are in the order of ids; rows that repeat an id are ranked each.
     """
     queries = queries.where(F.col("vector").isNotNull())
     pool = searchable(corpus, where).select("id", "vector")
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", pool.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     kinds = to_arrow_schema(schema)
-    blocks = query_blocks(queries, centres, probes, block)
+    blocks, matrix = query_blocks(queries, block=block), MATRIX
 
     def compare(ids: pa.Array, column: pa.Array) -> Iterator[pa.RecordBatch]:
         order = pc.sort_indices(ids)
         ids, column = ids.take(order), column.take(order)
-        for size, (rows, x) in _vectors(column).items():
+        for size, (rows, x) in vectors_of(column).items():
             kept = _first_copies(x, k) if size and len(x) else np.arange(0)
             rows, x = rows[kept], x[kept]
             if not len(rows):
                 continue
-            of = None if centres is None else (x @ centres.T).argmax(axis=1) if size == centres.shape[1] else np.zeros(len(x), np.int64)
-            for path, length in blocks:
+            for path, length, _ in blocks:
                 if length == size:
-                    names, q, lists = _block(path)
-                    who, row, score = _best(q, x, k, lists, of)
+                    names, q, _ = held_block(path)
+                    who, row, score = _best(q, x, k, matrix)
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(who)).cast(kinds.field(0).type), ids.take(pa.array(rows[row])).cast(kinds.field(1).type), pa.array(score)], kinds.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +202,12 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 50, where: Column |
 
 
 def coarse_lists(corpus: DataFrame, lists: int = 64, sample: int = 50_000, rounds: int = 8, seed: int = 3) -> np.ndarray:
-    """Centroids of a bounded sample of unit vectors, for nearest_approximate; none for an empty table.
+    """Centroids of a bounded sample of unit vectors, for an index; none for an empty table.
 
     Vectors of another length than the first of the sample's are not in the sample.
     """
     rows = searchable(corpus, None).select("id", "vector").orderBy(F.xxhash64("id")).limit(sample).toPandas()
-    same = [v for v in rows["vector"] if len(v) == len(rows["vector"].iloc[0]) and not np.isnan(np.asarray(v, dtype=float)).any()]
+    same = [v for v in rows["vector"] if len(v) == len(rows["vector"].iloc[0]) and np.isfinite(np.asarray(v, dtype=float)).all()]
     if not same:
         return np.zeros((0, 0))
     x = np.stack(same).astype(np.float64)
@@ -209,24 +221,6 @@ def coarse_lists(corpus: DataFrame, lists: int = 64, sample: int = 50_000, round
     return centres
 
 
-def assign(vectors: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
-    """(…, vector) with `lists`: the nearest centres of each vector."""
-
-    @F.pandas_udf("array<int>")
-    def near(v):
-        import pandas as pd
-
-        x = np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, centres.shape[1]))
-        return pd.Series(list(np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)))
-
-    return vectors.withColumn("lists", near(F.col("vector")))
-
-
-def nearest_approximate(queries: DataFrame, corpus: DataFrame, centres: np.ndarray, k: int = 50, probes: int = 8) -> DataFrame:
-    """Top k within the nearest lists only; every row is in a list.  State recall with the share of pairs compared."""
-    return nearest(queries, corpus, k, centres=centres if centres.size else None, probes=probes)
-
-
 def candidate_text(name: Column, summary: Column) -> Column:
     return X.strip(F.concat(F.coalesce(name, F.lit("")), F.lit("\n"), F.coalesce(summary, F.lit(""))))
 

@@ -332,14 +332,31 @@ def token_concat(spark, d):
 
 
 #: Lists of the index and how many are probed; the README has the recall with the share of pairs compared.
-LISTS, PROBES = 64, 44
+#: Lists of ann_topk's index that a query looks at, of 64, and codes of them that it compares in full.
+PROBES, SHORT = 48, 40
 
 
 @registered()
 def ann_topk(spark, d):
-    """Nearest lists only, for every query; tests/test_recall.py holds recall and the share of pairs compared."""
-    corpus = S.stored_corpus(spark, d).select("id", "vector")
-    return search.nearest_approximate(S.query_vectors(spark, d), corpus, search.coarse_lists(corpus, LISTS), 10, PROBES).select("qid", "id", "rank", six(F.col("score"), "score"))
+    """Of the stored index, the nearest lists and the best codes only; tests/test_index.py holds recall and shares."""
+    return S.stored_index(spark, d).approximate(S.query_vectors(spark, d), 10, PROBES, SHORT).select("qid", "id", F.col("rank").cast("bigint").alias("rank"), six(F.col("score"), "score"))
+
+
+@registered()
+def ann_shares(spark, d):
+    """What ann_topk compares for each query, as shares of the index, and how much of the exact answer it finds."""
+    index, asked = S.stored_index(spark, d), S.query_vectors(spark, d)
+    found, blocks = index.candidates(asked, 10, PROBES, SHORT)
+    got = index.ranked(index.products(found, blocks), 10).select("qid", "id", F.lit(1).alias("hit"))
+    hits = index.exact(asked, 10).join(got, ["qid", "id"], "left").groupBy("qid").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    work = index.work(asked, found, 10, PROBES)
+    return work.join(hits, "qid").select("qid", (F.col("coded") / F.col("rows")).alias("coded"), (F.col("products") / F.col("rows")).alias("products"), "recall")
+
+
+@registered("@SELECT qid, key AS id, rank, round(score, 6) AS score FROM knn WHERE rank <= 50")
+def bounded_topk(spark, d):
+    """Exact search by codes with proven bounds: full products only for what may still be among the nearest."""
+    return S.stored_index(spark, d).exact(S.query_vectors(spark, d), 50).select("qid", "id", F.col("rank").cast("bigint").alias("rank"), six(F.col("score"), "score"))
 
 
 @registered()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.documents import transform
+from ..operators.vector_index import VectorIndex
 from ..sources.extract import extract, to_packages
 from ..sources.shared import hadoop_fs, new_path
 
@@ -58,25 +59,38 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _stored: dict[tuple, str] = {}
 
 
-def stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus as a written table, as a collection is before it is searched.
+def _path_of(spark: SparkSession, sf_dir: str, kind: str, done: str) -> tuple[str, bool]:
+    """Where what is made of the tables is kept for a session, and whether it is there.
 
-    Written once for a session, unless the tables it is made of have changed since or it is gone.
+    It is made again when the tables have changed since.
     """
     found = []
     for name in ("part", "lineitem", "embeddings"):
         _, where, fs = hadoop_fs(spark, f"{sf_dir}/{name}.parquet")
         status = fs.getFileStatus(where)
         found.append((status.getModificationTime(), status.getLen()))
-    key = (spark.sparkContext.applicationId, sf_dir, *found)
-    df = corpus(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, kind, *found)
     if key in _stored:
-        Path, _, fs = hadoop_fs(spark, _stored[key])
-        if fs.exists(Path(f"{_stored[key]}/_SUCCESS")):
-            return spark.read.schema(df.schema).parquet(_stored[key])
-    _stored[key] = new_path(spark, "corpus")
-    df.write.parquet(_stored[key])
-    return spark.read.schema(df.schema).parquet(_stored[key])
+        _, where, fs = hadoop_fs(spark, f"{_stored[key]}/{done}")
+        if fs.exists(where):
+            return _stored[key], True
+    _stored[key] = new_path(spark, kind)
+    return _stored[key], False
+
+
+def stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as a written table, as a collection is before it is searched."""
+    path, there = _path_of(spark, sf_dir, "corpus", "_SUCCESS")
+    df = corpus(spark, sf_dir)
+    if not there:
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The index of the corpus's vectors, as it is before it is searched."""
+    path, there = _path_of(spark, sf_dir, "index", "index.json")
+    return VectorIndex.open(spark, path) if there else VectorIndex.build(stored_corpus(spark, sf_dir).select("id", "vector"), path)
 
 
 SQL = f"""

@@ -36,11 +36,29 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again, which cuts the lineage and fixes its values."""
+    """Write df to the shared folder and read it again.
+
+    This cuts the lineage: a lost executor costs the tasks it was running, not the stages before this
+    table.  Values made from partition ids or sampling become fixed here.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.table_path = path
+    return table
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder."""
+    _, where, fs = hadoop_fs(spark, path)
+    fs.delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.table_path)
 
 
 def hadoop_fs(spark: SparkSession, uri: str):
@@ -50,11 +68,16 @@ def hadoop_fs(spark: SparkSession, uri: str):
     return jvm.org.apache.hadoop.fs.Path, where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def put_file(uri: str, payload: bytes) -> None:
-    """Write a whole file under a temporary name, then move it, so that readers never see half of one."""
+def open_fs(uri: str):
+    """(file system, path) for a URI, on the driver or on an executor."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri)
+
+
+def put_file(uri: str, payload: bytes) -> None:
+    """Write a whole file under a temporary name, then move it, so that readers never see half of one."""
+    system, path = open_fs(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}"
     with system.open_output_stream(part) as out:
@@ -63,8 +86,6 @@ def put_file(uri: str, payload: bytes) -> None:
 
 
 def get_file(uri: str) -> bytes:
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = open_fs(uri)
     with system.open_input_file(path) as src:
         return src.read()

@@ -31,14 +31,32 @@ def test_many_queries_and_copies(spark, monkeypatch, block):
         exact = (x * v).sum(axis=1)
         want += [(i, int(ids[j]), place, round(float(exact[j]), 12)) for place, j in enumerate(np.lexsort((ids, -exact))[:9], 1)]
     assert rows(search.nearest(queries, corpus, 9, block=block)) == want
-    centres = search.coarse_lists(corpus, 8)
-    assert rows(search.nearest_approximate(queries, corpus, centres, 9, probes=8)) == want
-    some = rows(search.nearest_approximate(queries, corpus, centres, 9, probes=4))
-    assert len({r[:2] for r in some} & {r[:2] for r in want}) > 0.7 * len(want)
+
+
+def test_scores_have_a_bound(spark):
+    """Many queries against many short vectors: no more than the scores of one slice at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    q, x = rng.normal(size=(2_000, 16)), rng.normal(size=(40_000, 16))
+    tracemalloc.start()
+    who, row, score = search._best(q, x, 10, 8 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # the whole matrix has 640 MB
+    exact = q[:40] @ x.T
+    assert [sorted(row[who == i].tolist()) for i in range(40)] == [sorted(np.argsort(-exact[i])[:10].tolist()) for i in range(40)] and len(score) == 20_000
+
+
+def test_infinite_values(spark):
+    """A vector with an infinity is not searched, and a query with one is not answered."""
+    inf = float("inf")
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [inf, 0.0]), (3, [0.0, 1.0])], "id long, vector array<double>")
+    queries = spark.createDataFrame([(1, [0.0, 1.0]), (2, [inf, 1.0])], "qid long, vector array<double>")
+    assert [r[:3] for r in rows(search.nearest(queries, corpus, 3))] == [(1, 3, 1), (1, 1, 2)]
 
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id long, vector array<float>")
     one = spark.createDataFrame([(1, [1.0])], "qid long, vector array<float>")
-    centres = search.coarse_lists(none)
-    assert search.nearest_approximate(one, none, centres).count() == 0 and search.nearest(one.limit(0), one.select(F.col("qid").alias("id"), "vector")).count() == 0
+    assert search.nearest(one.limit(0), one.select(F.col("qid").alias("id"), "vector")).count() == 0
