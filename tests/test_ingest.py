@@ -62,14 +62,13 @@ def test_collection(spark, place):
     embed = models.hashed_embedder(DIM)
     put = lambda rows: c.upsert(points(embed(packages(spark, rows), "summary")))
     assert put([("a", "1", day(1)), ("b", "1", day(1)), ("a", "0", day(2)), ("a", "9", None)]) == 1
-    spark.createDataFrame([(1,)], "x int").write.parquet(f"{place}/c/delta-2")
-    _, where, fs = hadoop_fs(spark, f"{place}/c/delta-2/_SUCCESS")
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{place}/c/version=2")
+    _, where, fs = hadoop_fs(spark, f"{place}/c/version=2/_SUCCESS")
     fs.delete(where, False)
     state = lambda: {r["name"]: r["summary"] for r in c.read().select("payload.name", "payload.summary").collect()}
     assert state() == {"a": "0", "b": "1"}
-    fs.delete(where.getParent(), True)
     put([("b", "2", day(3))])
-    assert state() == {"a": "0", "b": "2"} and put([("c", "3", day(3))]) == 4 and [n for _, n in c._tables()] == ["base-4"]
+    assert state() == {"a": "0", "b": "2"} and put([("c", "3", day(3))]) == 4 and c._live() == [4]
     assert state() == {"a": "0", "b": "2", "c": "3"}
     bad = points(packages(spark, [("z", "z", day(1))]).withColumn("vector", F.array(F.lit(1.0)).cast("array<float>")))
     with pytest.raises(Exception):
@@ -77,6 +76,46 @@ def test_collection(spark, place):
     assert state() == {"a": "0", "b": "2", "c": "3"} and put([("b", "5", day(4))]) == 5 and state()["b"] == "5"
 
 
+def test_read_across_compactions(spark, place):
+    """What was read before two compactions can still be evaluated; what no one may hold any more goes."""
+    c = Collection(spark, f"{place}/c", DIM, most_deltas=2, buckets=3)
+    embed = models.hashed_embedder(DIM)
+    put = lambda rows: c.upsert(points(embed(packages(spark, rows), "summary")))
+    state = lambda df: {r["name"]: r["summary"] for r in df.select("payload.name", "payload.summary").collect()}
+    put([("a", "1", day(1)), ("b", "1", day(1))])
+    put([("a", "2", day(1))])
+    before = c.read()
+    for i in range(3, 9):
+        put([("a", str(i), day(1)), (f"n{i}", "x", day(2))])
+    assert sum(base for _, base, _ in c._versions()) >= 3
+    assert state(before) == {"a": "2", "b": "1"} and state(c.read()) == {"a": "8", "b": "1"} | {f"n{i}": "x" for i in range(3, 9)}
+    # Another session's view of the folder: the same state and number of buckets, whatever is asked for.
+    spark.sql(f"DROP TABLE {c.table}")
+    other = Collection(spark, f"{place}/c", DIM, buckets=7)
+    assert state(other.read()) == state(c.read()) and other.buckets == 3
+    gone = c.vacuum(0)
+    assert gone and 0 in gone and min(n for n, _, _ in c._versions()) == c._live()[0] and state(c.read())["a"] == "8"
+
+
+def test_merging_does_not_shuffle(spark, place):
+    """Base and versions are merged in their buckets; an upsert shuffles the rows that it is given, once."""
+    c = Collection(spark, f"{place}/c", DIM, buckets=3)
+    embed = models.hashed_embedder(DIM)
+    for i in range(3):
+        c.upsert(points(embed(packages(spark, [(f"n{k}", str(i), day(1)) for k in range(i, 20)]), "summary")))
+    plan = c.read()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" in plan and "SelectedBucketsCount: 3 out of 3" in plan
+    assert c.read().groupBy("payload.summary").count().orderBy("summary").collect() == [("0", 1), ("1", 1), ("2", 18)]
+
+
+def test_filters_reach_the_base(spark, place):
+    c = Collection(spark, f"{place}/c", DIM)
+    c.upsert(points(models.hashed_embedder(DIM)(packages(spark, [("a", "1", day(1))]), "summary")))
+    c.compact()
+    plan = c.read().where("payload.license = 'MIT'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(payload.license,MIT)" in plan and "Window" not in plan
+
+
 def test_command_line(spark, place, capsys, monkeypatch, tmp_path):
     monkeypatch.setenv("EMBEDDING_DIM", str(DIM))
     monkeypatch.chdir(tmp_path)
