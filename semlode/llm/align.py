@@ -8,7 +8,8 @@ each A token of a group is linked to each of its B tokens.
    either vocabulary reaches across (`Pair.splits`): no merge can, so both tokenizers cut there too, and the
    tokens of the whole are those of its segments.  Texts are taken in chunks of some CHUNK bytes; a chunk goes
    to a file as numbers of segments, and each of its distinct segments is one row.
-2. The distinct segments of the corpus are tokenised and aligned once, and joined back to the chunks.
+2. Rows of the same segment meet; it is tokenised and aligned once and the alignment goes back to each chunk that
+   has it.  A chunk has a segment once, so even the most common one has few rows.
 3. Each chunk counts for each linked pair of ids how many of its documents have it; the sums over chunks, and
    the highest of each A id (as many rows as A has ids, so they are broadcast), are joined back to the chunks.
 4. A chunk's documents are composed of what is known of its segments.
@@ -35,6 +36,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +44,9 @@ from pyspark.sql import functions as F
 from ._shared import discard, get_file, materialize, new_path, put_file, release, tidy
 
 #: Bytes of text of a chunk, about; characters before which texts may be split.
-CHUNK, PLACES = 16 << 20, " \n\t"
-#: A group of more links than this is taken by its distinct ids.
-LARGE = 256
+CHUNK, PLACES = 12 << 20, " \n\t"
+#: A group of more links than this is taken by its distinct ids; segments of documents that are tallied at a time.
+LARGE, TALLIED = 256, 1 << 17
 
 
 def _byte_level() -> dict[str, int]:
@@ -198,7 +200,10 @@ def _load(path: str) -> Iterator[pa.Array]:
 
 
 def cut(docs: DataFrame, paths: tuple[str, str], folder: str, chunk: int = CHUNK) -> DataFrame:
-    """(chunk, place, segment): the distinct segments of each chunk from 0; at place -1 the file of its documents."""
+    """(chunk, place, segment): the distinct segments of each chunk from 0; at place -1 the file of its documents.
+
+    An attempt that is repeated cuts the same chunks and writes files of its own.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, name = worker_pair(*paths), TaskContext.get().partitionId() << 32
@@ -229,20 +234,7 @@ def cut(docs: DataFrame, paths: tuple[str, str], folder: str, chunk: int = CHUNK
             yield from flush()
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(chosen.mapInArrow(tidy(read), "chunk long, place long, segment string"), "align-cut")
-
-
-def align_segments(segments: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """(segment) to (segment, groups), written; each is tokenised once."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = worker_pair(*paths)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.column(0).slice(at, 2_000)
-                yield pa.RecordBatch.from_arrays([part, pa.array(pair.align(part.to_pylist()), pa.string())], ["segment", "groups"])
-
-    return materialize(segments.mapInArrow(tidy(read), "segment string, groups string"), "align-segments")
+    return chosen.mapInArrow(tidy(read), "chunk long, place long, segment string")
 
 
 def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, list[pa.RecordBatch]]]:
@@ -267,13 +259,27 @@ def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, lis
         yield name, path, rows
 
 
-def joined(docs: DataFrame, paths: tuple[str, str], folder: str, chunk: int = CHUNK) -> tuple[DataFrame, list[DataFrame]]:
-    """(chunk, place, groups) in the order of both within partitions of whole chunks, and the tables that it reads."""
-    parts = cut(docs, paths, folder, chunk)
-    own = parts.where("place >= 0")
-    known = align_segments(own.select("segment").distinct(), paths)
-    every = own.join(known, "segment").select("chunk", "place", "groups").unionByName(parts.where("place < 0").select("chunk", "place", F.col("segment").alias("groups")))
-    return every.repartition("chunk").sortWithinPartitions("chunk", "place"), [parts, known]
+def joined(docs: DataFrame, paths: tuple[str, str], folder: str, chunk: int = CHUNK) -> DataFrame:
+    """(chunk, place, groups) in the order of both within partitions of whole chunks; the files at place -1."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, last = worker_pair(*paths), {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5_000):
+                part = batch.slice(at, 5_000)
+                own = pc.greater_equal(part.column(1), 0)
+                segments = part.filter(own).column(2).dictionary_encode()
+                names = segments.dictionary.to_pylist()
+                new = [n for n in names if n not in last]
+                found = last | dict(zip(new, pair.align(new)))
+                last = {names[-1]: found[names[-1]]} if names else last  # the next rows may have it too
+                groups = pa.array([found[n] for n in names], pa.string()).take(segments.indices)
+                files = part.filter(pc.invert(own))
+                for rows, column in ((part.filter(own), groups), (files, files.column(2))):
+                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), column], ["chunk", "place", "groups"])
+
+    met = cut(docs, paths, folder, chunk).repartition("segment").sortWithinPartitions("segment")
+    return met.mapInArrow(tidy(read), "chunk long, place long, groups string").repartition("chunk").sortWithinPartitions("chunk", "place")
 
 
 def _chunk_of(path: str, rows: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray, list[str | None]]:
@@ -297,7 +303,7 @@ def group_texts(docs: DataFrame, path_a: str | None = None, path_b: str | None =
                 own = [groups[s] for s in segment[a:b].tolist()]
                 yield pa.RecordBatch.from_arrays([ids.slice(d, 1), pa.array(["" if None in own else ";".join(own)])], ["doc_id", "groups"])
 
-    return joined(docs, paths, folder, chunk)[0].mapInArrow(tidy(compose), "doc_id long, groups string")
+    return joined(docs, paths, folder, chunk).mapInArrow(tidy(compose), "doc_id long, groups string")
 
 
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -313,31 +319,22 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         """The pairs of each chunk with their documents; what is known of documents and segments goes to a file."""
         for name, path, rows in _by_chunk(batches):
             ids, first, segment, groups = _chunk_of(path, rows)
-            links, docs_of = Linked(groups), np.repeat(np.arange(len(ids)), np.diff(first))
-            tokens = (np.diff(first) > 0) & (np.bincount(docs_of, weights=~links.good[segment], minlength=len(ids)) == 0)
-            use = tokens[docs_of]
-            first = np.concatenate([[0], np.cumsum(np.where(tokens, np.diff(first), 0))])
-            docs_of, segment = docs_of[use], segment[use]
-            hashed, numbers = [], segment.tolist()
-            for a, b in zip(first.tolist(), first[1:].tolist()):
-                hashed.append(hashlib.sha256(";".join([groups[s] for s in numbers[a:b]]).encode()).hexdigest() if b > a else "")
+            links, size = Linked(groups), np.diff(first)
+            tokens = size > 0
+            tokens[np.searchsorted(first, np.flatnonzero(~links.good[segment]), side="right") - 1] = False
+            segment = segment[np.repeat(tokens, size)]
+            first = np.concatenate([[0], np.cumsum(np.where(tokens, size, 0))])
+            hashed = [hashlib.sha256(";".join([groups[s] for s in segment[a:b].tolist()]).encode()).hexdigest() if b > a else "" for a, b in zip(first.tolist(), first[1:].tolist())]
             # Each document's distinct segments, then its distinct pairs, some documents at a time.
-            seen, width = np.zeros(len(links.keys), dtype=np.int64), max(1, len(groups))
-            mixed = np.unique(docs_of * width + segment)
-            size = np.diff(links.first)[mixed % width]
-            upto = np.cumsum(size)
-            for at in range(0, len(mixed), step := 1 << 18):
-                part = mixed[at : at + step]
-                # A document that is cut by the step is finished with the pairs that it has further on.
-                if at and part[0] // width == mixed[at - 1] // width:
-                    part = part[part // width != mixed[at - 1] // width]
-                if at + step < len(mixed) and len(part):
-                    last = int(np.searchsorted(mixed, (part[-1] // width + 1) * width))
-                    part = np.concatenate([part, mixed[at + step : last]])
-                pairs = links.pair[spans(links.first[part % width], np.diff(links.first)[part % width])]
-                own = np.repeat(part // width, np.diff(links.first)[part % width])
-                seen += np.bincount(np.unique(own * max(1, len(seen)) + pairs) % max(1, len(seen)), minlength=len(seen))
-            del mixed, size, upto
+            seen, width, own_links = np.zeros(len(links.keys), dtype=np.int64), max(1, len(groups)), np.diff(links.first)
+            at = 0
+            while at < len(ids):
+                to = max(at + 1, int(np.searchsorted(first, first[at] + TALLIED, side="right")) - 1)
+                part = np.unique(np.repeat(np.arange(to - at), np.diff(first[at : to + 1])) * width + segment[first[at] : first[to]])
+                doc, part = part // width, part % width
+                pairs = np.repeat(doc, own_links[part]) * max(1, len(seen)) + links.pair[spans(links.first[part], own_links[part])]
+                seen += np.bincount(np.unique(pairs) % max(1, len(seen)), minlength=len(seen))
+                at = to
             out = f"{folder}/{name}-{uuid.uuid4().hex[:8]}.links"
             known = {c: sums(links.counts[c][segment], first) for c in COUNTS}
             _save({"doc_id": ids, **known, "sha": pa.array(hashed, pa.string()), "first": first, "segment": segment.astype(np.int32), "pair": links.pair.astype(np.int32), "weight": links.weight, "links": links.first}, out)
@@ -345,9 +342,8 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([out])], ["chunk", "place", "pair", "docs", "path"])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), name)), pa.array(kept), pa.array(links.keys[kept]), pa.array(seen[kept]), pa.nulls(len(kept), pa.string())], ["chunk", "place", "pair", "docs", "path"])
 
-    every, used = joined(docs, paths, folder, chunk)
+    every = joined(docs, paths, folder, chunk)
     counted = materialize(every.mapInArrow(tidy(tally), "chunk long, place long, pair long, docs long, path string"), "align-pairs")
-    discard(*used)
     release(spark)
     own = counted.where("place >= 0").select("chunk", "place", "pair", "docs")
     totals = materialize(own.groupBy("pair").agg(F.sum("docs").alias("total")), "align-totals")
