@@ -271,9 +271,10 @@ def join(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, tile: int = TI
     found = links(nodes.select("fp"), nodes.count(), radius, tile)
     comps = components(nodes, found).select(F.col("node").alias("fp"), "comp")
     smallest = nodes.join(comps, "fp").groupBy("comp").agg(F.min("doc").alias("least"))
-    # Written, so that the join on the label of a large component may be split.
-    own = materialize(join_heavy(materialize(nodes.join(comps, "fp", "left"), "simhash-labels"), smallest, "comp", "left").select("fp", F.when(F.col("comp").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id")), "simhash-own")
-    discard(found, nodes)
+    labels = materialize(nodes.join(comps, "fp", "left"), "simhash-labels")
+    linked = join_heavy(labels.where("comp IS NOT NULL"), smallest, "comp").select("fp", F.col("least").alias("component_id"))
+    own = materialize(linked.unionByName(labels.where("comp IS NULL").select("fp", F.col("doc").alias("component_id"))), "simhash-own")
+    discard(found, nodes, labels)
     release(docs.sparkSession)
     return join_heavy(rows, own, "fp").select("doc_id", "fp", "component_id")
 
