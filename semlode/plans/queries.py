@@ -13,7 +13,7 @@ from ..functions import vector as V
 from ..operators import documents, metrics, models, rag, search
 from ..sources import extract, sse, store, watermark
 from ..sources.shared import materialize, new_path
-from ..streaming import ingest
+from ..streaming import answers, ingest
 from . import staging as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,6 +288,29 @@ def sse_parse(spark, d):
     return sse.parse(buffers)
 
 
+@registered("SELECT user_id AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS seq, event_type AS event, event_id || ' ' AS data FROM events")
+def sse_parse_browser(spark, d):
+    """The reading of a browser: comments don't hide what follows in their block, and data keeps the spaces at its end."""
+    f = F.concat(F.lit(": a comment\nevent:  "), F.col("event_type"), F.lit(" \ndata:   "), F.col("event_id").cast("string"), F.lit(" \n\n"))
+    e = S.table(spark, d, "events").select(F.col("user_id").alias("id"), "event_id", f.alias("f"))
+    return sse.parse(e.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("event_id", "f"))).getField("f"), "").alias("buffer")), dialect="browser")
+
+
+@registered("""SELECT conv_id AS id, turn_no AS n, 'llm_delta' AS event, '"' || role || ' ' || length(coalesce(text, '')) || ' é"' AS data FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_no FROM conversations)
+  UNION ALL SELECT conv_id, count(*), CASE WHEN conv_id % 5 = 0 THEN 'llm_error' ELSE 'llm_done' END, CASE WHEN conv_id % 5 = 0 THEN '{"message": "no answer within 3 s"}' ELSE '1' END FROM conversations GROUP BY conv_id""")
+def answer_stream(spark, d):
+    """Conversations as streams of events, cut into pieces at any byte; one in five falls silent and is ended by the clock."""
+    talk = S.table(spark, d, "conversations").withColumn("f", sse.frame(F.lit("llm_delta"), F.concat(F.lit('"'), "role", F.lit(" "), F.coalesce(F.length("text"), F.lit(0)).cast("string"), F.lit(' é"'))))
+    ends = F.when(F.col("conv_id") % 5 == 0, "event: llm_done\ndata:").otherwise("event: llm_done\ndata: 1\n\n")
+    whole = talk.groupBy(F.col("conv_id").alias("id")).agg(F.encode(F.concat(F.array_join(F.array_sort(F.collect_list(F.struct("turn", "f"))).getField("f"), ""), F.any_value(ends)), "utf-8").alias("bytes"))
+    size = F.lit(7) + F.col("id") % 50
+    cut = whole.select("id", "bytes", size.alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("bytes") - 1) / size))).alias("seq"))
+    pieces = cut.select("id", "seq", F.substring("bytes", (F.col("seq") * F.col("size") + 1).cast("int"), F.col("size").cast("int")).alias("piece"))
+    # A stream is in one file here, so that only what is silent is waited for, however slow the machines are.
+    pieces.repartition(4, "id").write.parquet(f"{(root := new_path(spark, 'pieces'))}/in")
+    return answers.ended(spark, f"{root}/in", pieces.schema, f"{root}/out", f"{root}/checkpoint", silent_ms=3_000)
+
+
 @registered("""SELECT user_id AS id, arg_max(CAST(event_id AS VARCHAR), event_id) FILTER (event_id % 4 = 0) AS ranked_list, '[' || max(event_id) FILTER (event_id % 4 = 1) || ']' AS recommendations,
   arg_max('["' || event_type || '"]', event_id) FILTER (event_id % 4 = 1) AS dropped, arg_max(CASE WHEN event_id % 3 = 0 THEN 'Generation failed.' ELSE 'e' || event_id END, event_id) FILTER (event_id % 4 = 2) AS error FROM events GROUP BY 1""")
 def sse_collapse(spark, d):
@@ -378,8 +401,9 @@ def stream_upsert(spark, d):
     root = new_path(spark, "stream")
     rows = S.packages(spark, d).drop("document")
     rows.repartition(3, "name").write.parquet(f"{root}/in")
-    run = ingest.Ingest(store.Collection(spark, f"{root}/points", 16, most_deltas=2), models.hashed_embedder(16), f"{root}/last.txt")
     for _ in range(2):
+        # The second run has a state of its own making only in the checkpoint.
+        run = ingest.Ingest(store.Collection(spark, f"{root}/points", 16, most_deltas=2), models.hashed_embedder(16), f"{root}/last.txt")
         ingest.run_stream(spark, f"{root}/in", rows.schema, lambda s: s, run, f"{root}/checkpoint")
     saved = watermark.load(spark, f"{root}/last.txt")
     return run.collection.read().select("point_id", "payload.name", "payload.content_hash", F.lit(saved).alias("watermark"), F.lit(run.processed).cast("bigint").alias("processed"))
