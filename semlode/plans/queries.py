@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import ranking as R
 from ..functions import text as X
 from ..functions import vector as V
-from ..operators import documents, metrics, models, rag, search
-from ..sources import extract, sse, store, watermark
+from ..operators import documents, metrics, models, parity, rag, search
+from ..sources import catalogue, extract, sse, store, watermark
 from ..sources.shared import materialize, new_path
 from ..streaming import answers, ingest
 from . import staging as S
@@ -382,6 +382,26 @@ def bounded_topk(spark, d):
     return S.stored_index(spark, d).exact(S.query_vectors(spark, d), 50).select("qid", "id", F.col("rank").cast("bigint").alias("rank"), six(F.col("score"), "score"))
 
 
+@registered("""@SELECT qid, count(*) AS n, round(corr(a, b), 6) AS correlation, (SELECT count(*) FROM pairs x JOIN pairs y ON x.qid = p.qid AND y.qid = x.qid AND x.a < y.a AND x.b > y.b) AS inversions,
+  corr(a, b) >= 0.99 AND (SELECT count(*) FROM pairs x JOIN pairs y ON x.qid = p.qid AND y.qid = x.qid AND x.a < y.a AND x.b > y.b) = 0 AS passed
+  FROM (SELECT qid, round(score, 6) AS a, round(score, 6) + (key % 7) * 0.0004 * (qid % 40) AS b FROM knn WHERE rank <= 50) p GROUP BY qid""".replace("@SELECT", "@, pairs AS (SELECT qid, round(score, 6) AS a, round(score, 6) + (key % 7) * 0.0004 * (qid % 40) AS b FROM knn WHERE rank <= 50) SELECT"))
+def parity_gate(spark, d):
+    """Scores of the nearest and of a model that strays from them more and more, query by query."""
+    a = F.round("score", 6)
+    found = search.nearest(S.query_vectors(spark, d), S.stored_corpus(spark, d), 50).select("qid", a.alias("a"), (a + (F.col("id") % 7) * 0.0004 * (F.col("qid") % 40)).alias("b"))
+    return parity.gate(found, "qid").select("qid", "n", six(F.col("correlation"), "correlation"), "inversions", "passed")
+
+
+@registered("@SELECT raw_name AS name, description, license || '| ' AS licenses, CAST(projects.sourcerank AS BIGINT) AS sourcerank, deps AS dependents, strftime(projects.ts, '%Y-%m-%d') AS released, coalesce(stars_count, 0) AS stars, projects.keywords FROM projects LEFT JOIN repo ON key = id WHERE platform = 'Pypi' AND description IS NOT NULL AND trim(description) <> '' AND length(description) > 5 AND projects.ts > TIMESTAMP '1970-01-01'")
+def extract_source(spark, d):
+    """The extract out of a data source of its own, which takes over the platform and the watermark."""
+    S.projects(spark, d).write.parquet(path := new_path(spark, "catalogue"))
+    spark.dataSource.register(catalogue.CatalogueSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    rows = extract.extract(spark.read.format("semlode_catalogue").option("project", "mine").load(path), S.repositories(spark, d))
+    return rows.select("name", "description", F.array_join("licenses", "|").alias("licenses"), "sourcerank", F.col("dependent_projects_count").alias("dependents"), day("latest_release_publish_timestamp").alias("released"), F.col("repository_stars_count").alias("stars"), "keywords")
+
+
 @registered()
 def embed_rerank(spark, d):
     """Texts through the stand-in models: embed, search, rerank."""
