@@ -30,16 +30,17 @@ Reranker = Callable[[DataFrame], DataFrame]
 
 
 def payload_filter(min_stars: int | None = None, license: str | None = None, requires_python: str | None = None, active_within_days: int | None = None, as_of: Column | None = None) -> Column:
-    """What is given must hold, and a missing field holds nothing; empty text is not given, 0 stars is.
+    """For where(): what is given must hold, and a missing field holds nothing; empty text is not given, 0 stars is.
 
-    active_within_days is accepted and ignored, unless as_of is given too.
+    active_within_days is accepted and ignored, unless as_of is given too.  All are plain comparisons of columns,
+    which reach the statistics of the files that are read; of a missing field they are null, which where() drops.
     """
     given = []
     if min_stars is not None:
-        given.append(F.coalesce(F.col("stars") >= min_stars, F.lit(False)))
-    given += [F.coalesce(F.col(c) == v, F.lit(False)) for c, v in (("license", license), ("requires_python", requires_python)) if v]
+        given.append(F.col("stars") >= min_stars)
+    given += [F.col(c) == v for c, v in (("license", license), ("requires_python", requires_python)) if v]
     if active_within_days is not None and as_of is not None:
-        given.append(F.coalesce(F.col("last_commit") >= as_of - F.make_dt_interval(F.lit(active_within_days)), F.lit(False)))
+        given.append(F.col("last_commit") >= as_of - F.make_dt_interval(F.lit(active_within_days)))
     return reduce(lambda a, b: a & b, given, F.lit(True))
 
 

@@ -516,12 +516,13 @@ def slim_hits(spark, d):
     return search.slim(_hits(spark, d)).withColumns({"place": F.col("place").cast("bigint"), "score": F.round("score", 6)})
 
 
-@registered("@SELECT qid, place, printf('%2d. ', place) || name || printf('  score=%.3f', final) || '  \u2605' || stars || chr(10) || '    ' || summary || chr(10) || '    https://pypi.org/project/' || name || '/' AS text FROM top JOIN every USING (key) WHERE place <= 8 AND length(summary) <= 100")
+@registered("@SELECT qid, place, printf('%2d. ', place) || name || printf('  score=%.3f', final) || '  \u2605' || stars || chr(10) || '    ' || CASE WHEN length(s) > 100 THEN substr(s, 1, 97) || '...' ELSE s END || chr(10) || '    https://pypi.org/project/' || name || '/' AS text FROM (SELECT *, CASE WHEN key % 2 = 0 THEN repeat(summary || ' ', 4) || '.' ELSE summary END AS s FROM top JOIN every USING (key)) WHERE place <= 8")
 def result_text(spark, d):
-    """Hits as lines for a terminal."""
+    """Hits as lines for a terminal; every other summary is long and cut."""
     from ..cli import result_text as lines
 
-    return lines(search.slim(_hits(spark, d)).where(F.length("summary") <= 100)).withColumn("place", F.col("place").cast("bigint"))
+    long = F.when(F.split("name", "-")[1].cast("long") % 2 == 0, F.concat(F.repeat(F.concat("summary", F.lit(" ")), 4), F.lit("."))).otherwise(F.col("summary"))
+    return lines(search.slim(_hits(spark, d)).withColumn("summary", long)).withColumn("place", F.col("place").cast("bigint"))
 
 
 _LATE = "(SELECT *, CASE WHEN key % 3 = 0 THEN TIMESTAMP '2001-06-01' ELSE ts END AS seen, '>=3.' || key % 4 AS python FROM corpus)"

@@ -79,11 +79,15 @@ def _path_of(spark: SparkSession, sf_dir: str, kind: str, done: str) -> tuple[st
 
 
 def stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus as a written table, as a collection is before it is searched."""
+    """The corpus as a written table, as a collection is before it is searched.
+
+    Files are ranges of license and stars, so that a filter on these skips files and row groups by their statistics.
+    """
     path, there = _path_of(spark, sf_dir, "corpus", "_SUCCESS")
     df = corpus(spark, sf_dir)
     if not there:
-        df.write.parquet(path)
+        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartitionByRange(files, "license", "stars").sortWithinPartitions("license", "stars").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

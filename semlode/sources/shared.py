@@ -68,6 +68,19 @@ def hadoop_fs(spark: SparkSession, uri: str):
     return jvm.org.apache.hadoop.fs.Path, where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def scanned(df: DataFrame) -> dict[str, int]:
+    """Run a plan without shuffles and say what its scans read: files, and rows of the row groups that statistics left."""
+    qe = df._jdf.queryExecution()
+    qe.toRdd().count()
+    leaves, out = qe.executedPlan().collectLeaves(), {"files": 0, "rows": 0}
+    for i in range(leaves.size()):
+        metrics = leaves.apply(i).metrics()
+        for name, key in (("files", "numFiles"), ("rows", "numOutputRows")):
+            if metrics.contains(key):
+                out[name] += metrics.apply(key).value()
+    return out
+
+
 def open_fs(uri: str):
     """(file system, path) for a URI, on the driver or on an executor."""
     from pyarrow import fs

@@ -40,3 +40,17 @@ def test_no_queries_and_no_rows(spark):
     queries = spark.createDataFrame([("a", [1.0, 0.0])], "qid string, vector array<float>")
     assert search.nearest(queries, corpus).count() == 0
     assert search.nearest(queries.limit(0), corpus).count() == 0
+
+
+def test_filters_skip_row_groups(spark):
+    """A payload filter reaches the statistics of the corpus's files: most rows are not read."""
+    from semlode.plans import staging as S
+    from semlode.sources.shared import scanned
+
+    corpus = S.stored_corpus(spark, "/root/testdata/sf0.1")
+    every = scanned(corpus.select("id", "vector"))
+    some = scanned(search.searchable(corpus, search.payload_filter(min_stars=30, license="Brand#12")).select("id", "vector"))
+    print(f"{some['rows']} of {every['rows']} rows are read for one license and its stars")
+    assert every["rows"] == corpus.count() and 0 < some["rows"] <= 0.5 * every["rows"]
+    far = scanned(search.searchable(corpus, search.payload_filter(license="none such")).select("id", "vector"))
+    assert far["rows"] == 0
