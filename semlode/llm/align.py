@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from ._shared import discard, get_file, materialize, new_path, put_file, release, tidy
 
 #: Bytes of text of a chunk, about; characters before which texts may be split.
-CHUNK, PLACES = 12 << 20, " \n\t"
+CHUNK, PLACES = 9 << 20, " \n\t"
 #: A group of more links than this is taken by its distinct ids; segments of documents that are tallied at a time.
 LARGE, TALLIED = 256, 1 << 17
 
@@ -143,8 +143,8 @@ class Linked:
         after = signs[(signs < 0x30) | (signs > 0x39)]  # the sign after each number
         ids = np.fromstring(line.translate(bytes.maketrans(b",|;\n", b"    ")).decode(), dtype=np.int64, sep=" ")
         closes, bars = np.isin(after, (0x3B, 0x0A)), after == 0x7C
-        group, second = np.cumsum(closes) - closes, np.cumsum(bars) - bars
-        is_b = second > group
+        group = np.cumsum(closes, dtype=np.int32) - closes
+        is_b = np.cumsum(bars, dtype=np.int32) - bars > group
         owner = of[np.cumsum(after == 0x0A)[closes] - (after == 0x0A)[closes]]
         total = len(owner)
         self.counts = {"n_a": np.bincount(owner[group[~is_b]], minlength=n), "n_b": np.bincount(owner[group[is_b]], minlength=n), "n_groups": np.bincount(owner, minlength=n)}
@@ -163,10 +163,13 @@ class Linked:
             keys.append((x[:, None] << 32 | y[None, :]).ravel())
             owners.append(np.full(len(keys[-1]), owner[g]))
             weights.append((n_x[:, None] * n_y[None, :]).ravel())
+        del line, signs, after, closes, bars, group, is_b, left, many, begins, right, ids
         keys, owners, weights = np.concatenate(keys), np.concatenate(owners), np.concatenate(weights)
         #: Distinct pairs; of each segment (`first` to the next) which of them it has, and how often.
         self.keys, at = np.unique(keys, return_inverse=True)
-        own, back = np.unique(owners * max(1, len(self.keys)) + at, return_inverse=True)
+        own = owners * max(1, len(self.keys)) + at
+        del keys, owners, at
+        own, back = np.unique(own, return_inverse=True)
         self.weight = np.bincount(back, weights=weights, minlength=len(own)).astype(np.int64)
         self.pair = own % max(1, len(self.keys))
         self.first = np.searchsorted(own // max(1, len(self.keys)), np.arange(n + 1))
@@ -337,9 +340,9 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
                 at = to
             out = f"{folder}/{name}-{uuid.uuid4().hex[:8]}.links"
             known = {c: sums(links.counts[c][segment], first) for c in COUNTS}
-            _save({"doc_id": ids, **known, "sha": pa.array(hashed, pa.string()), "first": first, "segment": segment.astype(np.int32), "pair": links.pair.astype(np.int32), "weight": links.weight, "links": links.first}, out)
+            _save({"sha": pa.array(hashed, pa.string()), **known, "tokens": tokens, "pair": links.pair.astype(np.int32), "weight": links.weight, "links": links.first}, out)
             kept = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([out])], ["chunk", "place", "pair", "docs", "path"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([f"{path}\n{out}"])], ["chunk", "place", "pair", "docs", "path"])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), name)), pa.array(kept), pa.array(links.keys[kept]), pa.array(seen[kept]), pa.nulls(len(kept), pa.string())], ["chunk", "place", "pair", "docs", "path"])
 
     every = joined(docs, paths, folder, chunk)
@@ -354,14 +357,16 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, path, rows in _by_chunk(batches):
-            ids, *known = _load(path)
-            *numbers, sha, first, segment, pair, weight, links = known
-            first, segment, pair, weight, links = (x.to_numpy() for x in (first, segment, pair, weight, links))
+            path_docs, path_links = path.split("\n")
+            ids, size, segment = _load(path_docs)
+            sha, *numbers, tokens, pair, weight, links = _load(path_links)
+            size, segment, pair, weight, links, tokens = (x.to_numpy(zero_copy_only=False) for x in (size, segment, pair, weight, links, tokens))
+            first = np.concatenate([[0], np.cumsum(size)])
             total, best = np.zeros(int(pair.max(initial=-1)) + 1, np.int64), np.zeros(int(pair.max(initial=-1)) + 1, np.int64)
             for r in rows:
                 place = r.column(1).to_numpy()
                 total[place], best[place] = r.column(2).to_numpy(), r.column(3).to_numpy(zero_copy_only=False)
-            of = [sums(sums(weight * x[pair], links)[segment], first) for x in (best, total)]
+            of = [np.where(tokens, sums(sums(weight * x[pair], links)[segment], first), 0) for x in (best, total)]
             yield pa.RecordBatch.from_arrays([ids, *numbers, *map(pa.array, of), sha], [x.split()[0] for x in RESULT.split(", ")])
 
     done = back.unionByName(files).repartition("chunk").sortWithinPartitions("chunk", "place").mapInArrow(tidy(finish), RESULT)
