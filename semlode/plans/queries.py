@@ -308,7 +308,7 @@ def answer_stream(spark, d):
     pieces = cut.select("id", "seq", F.substring("bytes", (F.col("seq") * F.col("size") + 1).cast("int"), F.col("size").cast("int")).alias("piece"))
     # A stream is in one file here, so that only what is silent is waited for, however slow the machines are.
     pieces.repartition(4, "id").write.parquet(f"{(root := new_path(spark, 'pieces'))}/in")
-    return answers.ended(spark, f"{root}/in", pieces.schema, f"{root}/out", f"{root}/checkpoint", silent_ms=3_000)
+    return answers.ended(spark, f"{root}/in", pieces.schema, f"{root}/out", f"{root}/checkpoint", silent_ms=3_000, files_per_batch=4)
 
 
 @registered("""SELECT user_id AS id, arg_max(CAST(event_id AS VARCHAR), event_id) FILTER (event_id % 4 = 0) AS ranked_list, '[' || max(event_id) FILTER (event_id % 4 = 1) || ']' AS recommendations,

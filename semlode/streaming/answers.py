@@ -72,14 +72,14 @@ def follow(pieces: DataFrame, *, dialect: str = "strict", silent_ms: int | None
     return whole.groupBy("id").applyInPandasWithState(step, out, STATE, "append", timer)
 
 
-def ended(spark: SparkSession, path: str, schema: T.StructType, out: str, checkpoint: str, *, dialect: str = "strict", silent_ms: int, every_ms: int = 200, wait_s: float = 600) -> DataFrame:
+def ended(spark: SparkSession, path: str, schema: T.StructType, out: str, checkpoint: str, *, dialect: str = "strict", silent_ms: int, every_ms: int = 200, files_per_batch: int = 1, wait_s: float = 600) -> DataFrame:
     """Follow what is in a directory of pieces until each of its streams has ended, by itself or by silence; the events.
 
     Batches are written by their number, so one that is repeated replaces itself.  A run that is begun again on
     the same checkpoint goes on.
     """
     put = lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}")
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     run = follow(source, dialect=dialect, silent_ms=silent_ms).writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", checkpoint)
     streams = spark.read.schema(schema).parquet(path).where("id IS NOT NULL AND seq IS NOT NULL AND piece IS NOT NULL").select("id").distinct().count()
     events = T.StructType([T.StructField("id", schema["id"].dataType), *[T.StructField(c, k) for c, k in (("n", T.LongType()), ("event", T.StringType()), ("data", T.StringType()))]])
