@@ -12,7 +12,7 @@ Defined cases: null roles and texts are empty; a parent that does not exist coun
 child is a root; messages on a cycle have no root and are on no path; equal scores are ordered by depth,
 then by message; null trees form one tree; a message without a node is in no tree and left out; of messages
 with one tree and node the first by parent, role, text and score counts; very long texts are one message,
-and a path is one row of output; empty tables give empty results; other columns are ignored, whatever
+and a path is one row of output, of at most 500 million code points where its mask is read back; empty tables give empty results; other columns are ignored, whatever
 their names.
 """
 
@@ -83,26 +83,16 @@ def format_trees(nodes: DataFrame, keep: int = 1, loss_roles: tuple[str, ...] =
         first = nodes.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m"))
         nodes = materialize(first.select("tree", "node", "m.*"), "chat-messages")
     turns = paths(nodes.select("tree", "node", "parent", "score"), keep).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
-    body = F.struct(
-        (-F.col("up")).alias("at"),
-        F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP)).alias("head"),
-        escape(F.col("text")).alias("body"),
-        F.coalesce(F.col("role").isin(*loss_roles), F.lit(False)).alias("loss"),
-    )
-    gathered = turns.groupBy("tree", "leaf", "branch").agg(F.array_sort(F.collect_list(body)).alias("turns"))
+    head, body = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP)), escape(F.col("text"))
+    turns = turns.select("tree", "leaf", "branch", "up", head.alias("head"), body.alias("body"), F.coalesce(F.col("role").isin(*loss_roles), F.lit(False)).alias("loss"))
+    # Positions are a running sum over the turns before they meet in one row, by the same key.
+    so_far = Window.partitionBy("tree", "leaf", "branch").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.length("head") + F.length("body") + len(END)).over(so_far) - len(END)
+    placed = turns.withColumn("end", end).withColumn("start", F.col("end") - F.length("body"))
+    turn = F.struct((-F.col("up")).alias("at"), "head", "body", "loss", "start", "end")
+    gathered = placed.groupBy("tree", "leaf", "branch").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     formatted = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))))
-    long0 = F.lit(0).cast("long")
-    spans = F.aggregate(
-        "turns",
-        F.struct(long0.alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("got")),
-        lambda a, t: F.struct(
-            (a["at"] + F.length(t["head"]) + F.length(t["body"]) + len(END)).alias("at"),
-            F.when(
-                t["loss"],
-                F.concat(a["got"], F.array(F.struct((a["at"] + F.length(t["head"])).cast("long").alias("start"), (a["at"] + F.length(t["head"]) + F.length(t["body"])).cast("long").alias("end")))),
-            ).otherwise(a["got"]).alias("got"),
-        ),
-    )["got"]
+    spans = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
     named = F.when(F.col("tree") != "", F.substring("tree", 2, 1 << 30)).cast(kind)
     return gathered.select(named.alias("tree"), "leaf", "branch", formatted.alias("formatted"), spans.alias("loss"))
 
@@ -119,8 +109,15 @@ def parse(formatted: Column) -> Column:
 
 
 def masked(formatted: Column, loss: Column) -> Column:
-    """The text under the loss mask, unescaped, in order."""
-    return F.concat_ws("", F.transform(loss, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))))
+    """The text under the loss mask, unescaped, in order.
+
+    A place in UTF-8 is found by reading from the beginning, for every span anew; four bytes a code point make it a
+    product.  Each piece gets a byte order mark, the one that decoding takes away.
+    """
+    piece = lambda wide, s: F.substring(wide, (s["start"] * 4 + 1).cast("int"), ((s["end"] - s["start"]) * 4).cast("int"))
+    said = lambda wide, s: unescape(F.decode(F.concat(F.unhex(F.lit("0000FEFF")), piece(wide, s)), "UTF-32"))
+    # The array of one element has the encoded text made once, not once a span.
+    return F.concat_ws("", F.flatten(F.transform(F.array(F.encode(formatted, "UTF-32")), lambda wide: F.transform(loss, lambda s: said(wide, s)))))
 
 
 def from_turns(turns: DataFrame) -> DataFrame:
