@@ -1,15 +1,19 @@
 """License scans (operator 7), with DataFrame functions only.
 
-A file's header lines (those with a licence cue), the lines of a licence file and the whole of it become
-sparse TF-IDF vectors over their words.  The cosine of each line with TEMPLATES decides (at least 0.5), that of
-a whole licence file with the full texts of license_texts (at least WHOLE); inverse document frequencies count
-the lines and TEMPLATES, or the licence files and the full texts.  A line with an SPDX identifier of a known
-licence has score 1.  What the whole of a licence file says goes before its lines.  Files without a licence of their own inherit that of the
-licence file in the nearest directory above, found by joining every ancestor directory with the
-directories that have one.
+A file's comment blocks and their paragraphs, its header lines (all those with a licence cue), the lines of a
+licence file and the whole of it become sparse TF-IDF vectors over their words.  Blocks and paragraphs, without
+comment marks and line ends, are compared with the notices() of licences (cosine of at least HEADER), lines with
+TEMPLATES (at least 0.5), a whole licence file with the full texts of license_texts (at least WHOLE); inverse
+document frequencies count what is compared and its templates.  A line with an SPDX identifier of a known licence
+has score 1.  What goes first: the whole of a licence file, an SPDX identifier, comment blocks, lines.  Files
+without a licence of their own inherit that of the licence file in the nearest directory above, found by joining
+every ancestor directory with the directories that have one.
+
+A comment block is what stands between `/*` and `*/`, `<!--` and `-->` or two triple quotes, or a run of lines that begin
+with one of the line marks of LINE_MARK; its paragraphs end at lines that are empty but for marks.
 
 Defined cases: null and empty texts have no licence of their own; null paths have no directories and inherit
-nothing; equal scores go to the template first by name; a directory with several licence files takes
+nothing; a comment that does not end is none (a docstring ends with its text); equal scores go to the template first by name; a directory with several licence files takes
 the best score, then the first path; rows that repeat have equal results, and rows of one file with other
 texts results of their own; of a very long text every line is read; empty tables give empty results; other
 columns are ignored, whatever their names.
@@ -17,7 +21,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 from importlib.resources import files as package_files
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,6 +45,49 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
 }
 
+#: Fixed texts: the notice that the GNU licences ask for, in its three paragraphs.
+GRANT = (
+    "This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; "
+    "either version {version} of the License, or (at your option) any later version."
+)
+WARRANTY = "This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+RECEIVED = "You should have received a copy of the GNU {name} along with this {work}. If not, see <https://www.gnu.org/licenses/>."
+#: Fixed names of the GNU licences: what they call the work, their name and version.
+GNU = {
+    "GPL-2.0": ("program", "General Public License", "2"),
+    "GPL-3.0": ("program", "General Public License", "3"),
+    "LGPL-2.0": ("library", "Library General Public License", "2"),
+    "LGPL-2.1": ("library", "Lesser General Public License", "2.1"),
+    "LGPL-3.0": ("library", "Lesser General Public License", "3"),
+    "AGPL-3.0": ("program", "Affero General Public License", "3"),
+}
+#: Fixed texts of the other licences' notices in source files.
+NOTICES = {
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+    ),
+    "MPL-1.1": (
+        'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the '
+        'License at http://www.mozilla.org/MPL/ Software distributed under the License is distributed on an "AS IS" basis, WITHOUT WARRANTY OF ANY KIND, either express or implied. See the License for '
+        "the specific language governing rights and limitations under the License."
+    ),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "BSD-3-Clause/notice": "Copyright The Authors. All rights reserved. Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "MIT/notice": "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file or at https://opensource.org/licenses/MIT.",
+    "CC0-1.0": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed "
+        "without any warranty. You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see http://creativecommons.org/publicdomain/zero/1.0/."
+    ),
+}
+
+#: Least cosine of a comment block or paragraph with a notice.
+HEADER = 0.6
+#: Line marks of comments, and what is taken off the beginnings of a block's lines.
+LINE_MARK = r"^[ \t]*(?://+|#+|--+|;+|%+|dnl |rem )!?"
+INNER_MARK = r"^[ \t]*[*#/;%!-]*[ \t]*"
+
 #: Least cosine of a whole licence file: two licences of different families have at most 0.85 (GPL-3.0 and LGPL-2.1).
 WHOLE = 0.85
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(*([a-z0-9.+-]+)"
@@ -80,6 +127,30 @@ network server at no charge, through some standard or customary means of facilit
 """
 
 
+def notices() -> dict[str, str]:
+    """The notices by licence; one with several has keys `licence/which`."""
+    out = dict(NOTICES)
+    for key, (work, name, version) in GNU.items():
+        grant, *others = (t.format(work=work, name=name, version=version) for t in (GRANT, WARRANTY, RECEIVED))
+        out |= {key: " ".join([grant, *others]), f"{key}/grant": grant}
+    return out | {k: full_texts()[k] for k in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense")}
+
+
+def headers(text: Column) -> Column:
+    """The comment blocks of whole text and their paragraphs, those that have a cue; the marks 1 and 2 are control characters of this function."""
+    plain = F.translate(text, "\r\x01\x02", "")
+    between = lambda begin, end: F.transform(
+        F.filter(F.slice(F.split(plain, begin), 2, 1 << 30), lambda x: F.contains(x, F.lit(end))), lambda x: F.substring_index(x, end, 1)
+    )
+    doc = F.filter(F.split(plain, '"""'), lambda x, i: i % 2 == 1)
+    # A line break before a marked line becomes a 2, so a run of such lines hangs together from the line before it.
+    run = F.split(F.replace(F.regexp_replace(F.concat(F.lit("\n"), plain), "(?md)" + LINE_MARK, "\x01"), F.lit("\n\x01"), F.lit("\x02")), "\n")
+    lines = F.transform(F.filter(run, lambda x: F.contains(x, F.lit("\x02"))), lambda x: F.replace(F.substr(x, F.instr(x, F.lit("\x02")) + 1), F.lit("\x02"), F.lit("\n")))
+    clean = F.transform(F.concat(between(r"/\*", "*/"), between("<!--", "-->"), doc, lines), lambda x: F.regexp_replace(x, "(?md)" + INNER_MARK, ""))
+    units = F.flatten(F.transform(clean, lambda x: F.concat(F.split(x, "\n\n+"), F.array(x))))
+    return F.when(F.regexp_like(text, F.lit(CUE)), F.filter(units, lambda x: F.regexp_like(x, F.lit(CUE))))
+
+
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(sorted(templates.items()), "license string, body string")
 
@@ -108,26 +179,32 @@ def own_license(files: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     """(file, path, text) to (file, path, body, license, score): what the text itself, of which body is the digest, says.
 
     Each distinct header sentence is scored once, however many files carry it, and a file takes its best sentence.
-    A licence file is also scored whole.
+    So is each distinct unit of comments.  A licence file is also scored whole.
     """
     whole = F.coalesce(F.regexp_like("path", F.lit(LICENSE_FILE)), F.lit(False))
     key = ["file", "path", "body"]
     said = files.select("file", "path", digest(F.col("text")).alias("body"), F.when(whole, F.split("text", "\n")).otherwise(F.split(header_lines(F.col("text")), "\n")).alias("lines"))
     said = materialize(said.select(*key, F.explode("lines").alias("said")).where(F.col("said") != "").withColumn("line", digest(F.col("said"))), "license-lines")
-    # From here on a line is known by its digest.
+    # From here on a line is known by its digest, and so are the units of comments.
     lines = said.groupBy("line").agg(F.count(F.lit(1)).alias("files"), F.first("said").alias("said"))
     tagged = F.regexp_replace(F.lower(F.regexp_extract("said", SPDX, 1)), SPDX_ENDING, "")
     known = template_table(files.sparkSession, dict.fromkeys(templates.keys() | full_texts().keys(), "")).select("license", F.lower("license").alias("tag"))
     tags = lines.select("line", tagged.alias("tag")).join(F.broadcast(known), "tag").select("line", F.struct(F.lit(-1.0).alias("at"), "license").alias("best"))
-    # Written, so that the join with a line that many files have may be split.
-    best = materialize(cosines(lines, templates, least, "license").unionByName(tags), "license-best")
-    of_lines = said.join(best, "line").groupBy(*key).agg(F.min("best").alias("best"))
+    of_line = cosines(lines, templates, least, "license").withColumn("after", F.lit(3)).unionByName(tags.withColumn("after", F.lit(1)))
+    heads = files.where(~whole).select("file", "path", digest(F.col("text")).alias("body"), F.explode(headers(F.col("text"))).alias("said")).withColumn("line", digest(F.col("said")))
+    heads = materialize(heads, "license-headers")
+    units = heads.groupBy("line").agg(F.count(F.lit(1)).alias("files"), F.first("said").alias("said"))
     bodies = files.where(whole & (F.col("text") != "")).select("file", "path", digest(F.col("text")).alias("body"), F.col("text").alias("said"))
     texts = bodies.groupBy(F.col("body").alias("line")).agg(F.count(F.lit(1)).alias("files"), F.first("said").alias("said"))
-    of_whole = bodies.select(*key, F.col("body").alias("line")).join(materialize(cosines(texts, full_texts(), WHOLE, "license-whole"), "license-bodies-best"), "line").groupBy(*key).agg(F.min("best").alias("best"))
-    both = of_lines.withColumn("after", F.lit(1)).unionByName(of_whole.withColumn("after", F.lit(0)))
-    found = both.groupBy(*key).agg(F.min_by("best", "after").alias("best"))
-    return materialize(found.select(*key, F.col("best.license").alias("license"), (-F.col("best.at")).alias("score")), "license-own")
+    # Each is written, so that the join with a line that many files have may be split.
+    best_of = lambda rows, best, name: rows.select(*key, "line").join(materialize(best, name), "line").select(*key, F.struct("after", "best").alias("got"))
+    found = [
+        best_of(said, of_line, "license-best"),
+        best_of(heads, cosines(units, notices(), HEADER, "license-header").withColumn("after", F.lit(2)), "license-headers-best"),
+        best_of(bodies.withColumn("line", F.col("body")), cosines(texts, full_texts(), WHOLE, "license-whole").withColumn("after", F.lit(0)), "license-bodies-best"),
+    ]
+    own = reduce(DataFrame.unionByName, found).groupBy(*key).agg(F.min("got")["best"].alias("best"))
+    return materialize(own.select(*key, F.substring_index("best.license", "/", 1).alias("license"), (-F.col("best.at")).alias("score")), "license-own")
 
 
 def ancestors(path: Column) -> Column:
@@ -191,7 +268,7 @@ def oracle() -> str:
  SELECT line, license, score FROM scored WHERE score >= {least}"""
 
     known = ", ".join(f"('{x}')" for x in sorted(TEMPLATES.keys() | full_texts().keys()))
-    own = "SELECT doc_id, path, body, arg_min(license, (-score, license)) AS license, max(score) AS score"
+    between = lambda begin, end: f"list_transform(list_filter(string_split(t, '{begin}')[2:], lambda x: contains(x, '{end}')), lambda x: split_part(x, '{end}', 1))"
     return rf"""
 WITH files AS (
  SELECT doc_id, concat_ws('/', 'corpus', (doc_id // 64)::VARCHAR, CASE WHEN doc_id % 64 = 0 THEN 'LICENSE' ELSE 'src/' || doc_id || '.txt' END) AS path, text, md5(coalesce(text, '')) AS body
@@ -202,14 +279,24 @@ said AS (
   SELECT doc_id, path, body, whole, unnest(string_split(CASE WHEN whole THEN text ELSE regexp_replace(text, '([.])[ ]+([A-Z])', '\1' || chr(10) || '\2', 'g') END, chr(10))) AS said FROM placed)
  WHERE said <> '' AND (whole OR regexp_matches(said, '{CUE}'))),
 lines AS (SELECT line, count(*) AS files, any_value(said) AS said FROM said GROUP BY line),
+plain AS (SELECT doc_id, path, body, translate(text, chr(13) || chr(1) || chr(2), '') AS t FROM placed WHERE NOT whole AND regexp_matches(text, '{CUE}')),
+comments AS (
+ SELECT doc_id, path, body, regexp_replace(unnest({between("/*", "*/")} || {between("<!--", "-->")} || list_filter(string_split(t, repeat(chr(34), 3)), lambda x, i: i % 2 = 0) || list_transform(
+  list_filter(string_split(replace(regexp_replace(chr(10) || t, '(?m){LINE_MARK}', chr(1), 'g'), chr(10) || chr(1), chr(2)), chr(10)), lambda x: contains(x, chr(2))),
+  lambda x: replace(substr(x, strpos(x, chr(2)) + 1), chr(2), chr(10)))), '(?m){INNER_MARK}', '', 'g') AS c FROM plain),
+heads AS (SELECT *, md5(said) AS line FROM (SELECT doc_id, path, body, unnest(string_split_regex(c, '\n\n+') || [c]) AS said FROM comments) WHERE regexp_matches(said, '{CUE}')),
+units AS (SELECT line, count(*) AS files, any_value(said) AS said FROM heads GROUP BY line),
+of_unit AS ({best("units", notices(), HEADER)}),
 whole_texts AS (SELECT body AS line, count(*) AS files, any_value(text) AS said FROM placed WHERE whole AND text <> '' GROUP BY body),
-of_line AS ({best("lines", TEMPLATES, 0.5)}
- UNION ALL SELECT line, license, 1.0 FROM (SELECT line, regexp_replace(lower(regexp_extract(said, '{SPDX}', 1)), '{SPDX_ENDING}', '') AS tag FROM lines) JOIN (VALUES {known}) AS k(license) ON lower(license) = tag),
+of_line AS ({best("lines", TEMPLATES, 0.5)}),
+of_tag AS (SELECT line, license, 1.0 AS score FROM (SELECT line, regexp_replace(lower(regexp_extract(said, '{SPDX}', 1)), '{SPDX_ENDING}', '') AS tag FROM lines) JOIN (VALUES {known}) AS k(license) ON lower(license) = tag),
 of_whole AS ({best("whole_texts", full_texts(), WHOLE)}),
 own AS (
- SELECT doc_id, path, body, arg_min(license, after) AS license, arg_min(score, after) AS score FROM (
-  SELECT *, 1 AS after FROM ({own} FROM said JOIN of_line USING (line) GROUP BY doc_id, path, body)
-  UNION ALL SELECT *, 0 AS after FROM ({own} FROM placed JOIN of_whole ON line = body WHERE whole GROUP BY doc_id, path, body))
+ SELECT doc_id, path, body, split_part(arg_min(license, (after, -score, license)), '/', 1) AS license, arg_min(score, (after, -score, license)) AS score FROM (
+  SELECT doc_id, path, body, license, score::DOUBLE AS score, 0 AS after FROM placed JOIN of_whole ON line = body WHERE whole
+  UNION ALL SELECT doc_id, path, body, license, score, 1 FROM said JOIN of_tag USING (line)
+  UNION ALL SELECT doc_id, path, body, license, score, 2 FROM heads JOIN of_unit USING (line)
+  UNION ALL SELECT doc_id, path, body, license, score, 3 FROM said JOIN of_line USING (line))
  GROUP BY doc_id, path, body),
 given AS (
  SELECT dir, arg_min(path, (-score, path, license)) AS path, arg_min(license, (-score, path, license)) AS license
