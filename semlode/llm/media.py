@@ -8,7 +8,8 @@ returns the payload with what it found.
 
 Defined cases: null is stored like empty; an empty payload is a stream with one empty unit; damaged
 streams are read as far as they go, `lost` counts the gaps in continuity counters and `bad` the packets
-or sections that fail their checks.  Memory grows with one text at a time.
+or sections that fail their checks; documents that repeat have equal results, a row each; empty tables give
+empty results; other columns are ignored, whatever their names; of a very long text all is stored.  Memory grows with one text at a time.
 """
 
 from __future__ import annotations

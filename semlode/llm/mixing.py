@@ -7,8 +7,8 @@ documents once more for the rest.
 
 Defined cases: a null or empty text has size 0 and is never short of its share (taken 0); null sources
 form one source, ordered last; of rows that repeat (same id, text and source) as many get a further copy as
-their group's cut says, and which of them is all the same; a null id is an id like another; an empty table
-gives an empty result; other columns are ignored, whatever their names.
+their group's cut says, and which of them is all the same; a null id is an id like another; of a very long
+text every word counts; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -133,7 +133,8 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
 #: Weights (3, 1, 2), 150 % and two epochs in DuckDB's SQL.  Sources whose level is above their cap come first in the order of cap / weight.
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size,
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size,
     CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS tie FROM documents),
 s AS (SELECT source, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM s),

@@ -8,7 +8,7 @@ Training uses a bounded sample of labelled rows (`max_rows`, in the order of a h
 only numbers reach the driver.  Labels, lang, source and doc_id are never inputs of a score.
 
 Defined cases: null and empty texts have all statistics 0 and are scored like others; null labels are
-not learned from; a table without labels or with labels of one kind gives a constant score; labels that
+not learned from; of repeated lines, those with equal sums of word hashes count as one line, so "a b" repeats "b a"; a table without labels or with labels of one kind gives a constant score; labels that
 repeat count as often as they repeat; documents that repeat have equal scores, and of those that share an id
 the one with the least statistics is learned from; equal bounds go to the earlier statistic; of a very long
 text all counts; empty tables give empty results; other columns are kept as they are, whatever their names.

@@ -8,8 +8,9 @@ there, with ranks; the row stores a fingerprint of the key, so a key that is not
 by bisection in a directory file of fixed records, and then reads a few words of the index and the ids
 asked for, never a whole shard or directory.
 
-Defined cases: a null text is empty and has the end id alone; documents with a null id come last and are
-in no index; documents that share an id are next to each other and the index leads to the first; empty
+Defined cases: a null text is empty and has the end id alone; documents with a null id come last, by
+text, and are in no index; their ranges are cut by the first NULL_ID_CHARS characters of the text (those that begin
+alike are in one range); documents that share an id are next to each other and the index leads to the first; empty
 tables give no shards; of a very long text all is encoded; other columns are ignored.  A task holds one
 shard (`shard_ids` ids, or one longer document) at a time.
 """
@@ -283,6 +284,8 @@ def worker_encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+#: How much of a text orders the ranges of documents without an id; what a range partitioner samples goes to the driver.
+NULL_ID_CHARS = 256
 MANIFEST = "path string, part int, seq int, docs long, ids long, bytes long, first_id long, last_id long"
 
 
@@ -303,7 +306,9 @@ def write(docs: DataFrame, tokenizer_path: str, *, partitions: int | None = None
     spark = docs.sparkSession
     root = new_path(spark, "tokens")
     n = partitions or _ranges(docs)
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_last())
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Many documents may have no id; the beginnings of texts are in the order of the texts.
+    ranged = ranged.repartitionByRange(n, F.col("doc_id").asc_nulls_last(), F.when(F.col("doc_id").isNull(), F.substring("text", 1, NULL_ID_CHARS)))
     names = [x.split()[0] for x in MANIFEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,4 @@
+import struct
 import zlib
 
 import numpy as np
@@ -97,3 +98,19 @@ def test_pieces_whose_cuts_are_elsewhere(encoder, monkeypatch):
     monkeypatch.setattr(encoder, "spaced", np.zeros_like(encoder.spaced))
     text = "some never seen wordsqq here zzqx"
     assert np.frombuffer(encoder.encode(text), dtype="<u2").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_documents_without_ids_are_in_many_ranges(spark, library):
+    """Half of all rows have no id: their ranges are about as large as those of the others, and in the order of texts."""
+    texts = [f"{'x' * (i % 5)} word {i} é" for i in range(400)]
+    docs = spark.createDataFrame([(i if i % 2 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    manifest = tokens.write(docs, tokens.default_tokenizer(), partitions=8)
+    most = max(r["docs"] for r in manifest.groupBy("part").agg(F.sum("docs").alias("docs")).collect())
+    assert most < 150 and manifest.where("first_id IS NULL").select("part").distinct().count() >= 3
+    want = sorted(((i if i % 2 else None, t) for i, t in enumerate(texts)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    got = tokens.read(manifest).orderBy("start").collect()
+    start = 0
+    for r, (key, text) in zip(got, want, strict=True):
+        ids = ids_of(library, text)
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (key, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
