@@ -18,12 +18,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..config import Settings
 from ..functions import ranking as R
 from ..functions import text as X
-from ..sources.shared import get_file, new_path, put_file
+from ..sources.shared import get_file, materialize, new_path, put_file
 
 #: Queries of a block, and bytes of vectors that a task compares with the blocks at a time.
 BLOCK, CHUNK = 2_000, 32 << 20
 #: Bytes of the scores of one block that a task has at a time, and of query blocks that a worker keeps.
 MATRIX, KEPT = 32 << 20, 128 << 20
+#: Pairs of a query and a row whose scores are summed before the best of them are chosen.
+CANDIDATES = 200_000
 
 #: (query, document) pairs to a table with a column rerank_score.
 Reranker = Callable[[DataFrame], DataFrame]
@@ -134,34 +136,62 @@ def _first(who: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> tuple
     return who[place < k], row[place < k], score[place < k]
 
 
-def _best(q: np.ndarray, x: np.ndarray, k: int, matrix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best(q: np.ndarray, x: np.ndarray, k: int, matrix: int, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of the k best rows of x for each query, with `matrix` bytes of scores at a time.
 
     The matrix product only chooses candidates; their scores are summed alike for all pairs, so that equal
-    vectors have equal scores wherever they stand.
+    vectors have equal scores wherever they stand.  `low` has a score that k rows seen before have reached, for
+    each query: rows below it are left out, and it is raised.  Of candidates, CANDIDATES (or those of one
+    query and slice) are looked at together, as any number of rows may have one score.
     """
-    step, out = max(1, matrix // (8 * max(1, len(q)))), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    low, length = np.full(len(q), -np.inf), np.linalg.norm(q, axis=1)
+    step = max(1, matrix // (8 * max(1, len(q))))
+    low = np.full(len(q), -np.inf) if low is None else low
+    # A row below the k-th best is not among the k best, but for the rounding of products.
+    slack = 1e-9 * np.linalg.norm(q, axis=1) * (np.linalg.norm(x, axis=1).max() if len(x) else 0.0)
+    floor, whole = low - slack, np.zeros(len(q), dtype=bool)
+    out, fresh, n = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        best = _first(*[np.concatenate(c) for c in zip(out, *fresh)], k)
+        count = np.bincount(best[0], minlength=len(q))
+        np.equal(count, k, out=whole)
+        low[whole] = np.maximum(low[whole], best[2][np.cumsum(count)[whole] - 1])
+        np.maximum(floor, low - slack, out=floor)
+        return best
+
     for at in range(0, len(x), step):
         part = x[at : at + step]
         s = q @ part.T
-        if len(part) > k:
-            # No row below the k-th best so far is among the k best, but for the rounding of products.
-            kth = np.partition(s, len(part) - k, axis=1)[:, len(part) - k]
-            np.maximum(low, kth - 1e-9 * length * np.linalg.norm(part, axis=1).max(), out=low)
-        who, row = np.nonzero(s >= low[:, None])
-        score = np.concatenate([np.zeros(0), *[(q[who[i : i + 50_000]] * part[row[i : i + 50_000]]).sum(axis=1) for i in range(0, len(who), 50_000)]])
-        out = _first(*[np.concatenate(c) for c in zip(out, (who, row + at, score))], k)
-    return out
+        if len(part) > k and not whole.all():
+            few = np.flatnonzero(~whole)
+            floor[few] = np.maximum(floor[few], np.partition(s[few], len(part) - k, axis=1)[:, len(part) - k] - slack[few])
+        near = s >= floor[:, None]
+        group = np.cumsum(np.count_nonzero(near, axis=1)) // CANDIDATES
+        for g in np.unique(group):
+            i, j = np.searchsorted(group, g), np.searchsorted(group, g, "right")
+            who, row = np.nonzero(near[i:j])
+            who += i
+            score = np.concatenate([np.zeros(0), *[(q[who[m : m + 10_000]] * part[row[m : m + 10_000]]).sum(axis=1) for m in range(0, len(who), 10_000)]])
+            # Rows come in their order, so one that only equals the last of k rows held stands behind it.
+            kept = np.where(whole[who], score > low[who], score >= low[who])
+            fresh.append((who[kept], row[kept] + at, score[kept]))
+            n += len(fresh[-1][0])
+            if n > CANDIDATES:
+                out, fresh, n = merged(), [], 0
+        if at == 0:
+            out, fresh, n = merged(), [], 0
+    return merged()
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = 50, where: Column | None = None, block: int = BLOCK) -> DataFrame:
     """Cosine top k: queries (qid, vector), corpus (id, vector), of unit length, to qid, id, score, rank.
 
-    One way for any number of queries: they are written in blocks, and each task compares its vectors, a
-    bounded chunk at a time, with one block after the other by matrix products and passes on k rows a query
-    and chunk.  The corpus is read once and never shuffled, nor sent anywhere.  The filter is applied before
-    the search.  A task holds CHUNK bytes of vectors, MATRIX bytes of scores and KEPT bytes of blocks.
+    One way for any number of queries: their distinct vectors are written in blocks, and each task compares its
+    vectors, a bounded chunk at a time, with one block after the other by matrix products and passes on k rows a
+    vector and chunk at most, none below what k rows of its chunks before have reached; queries get the rows
+    of their vectors by a join.  The corpus is read once and never shuffled, nor sent anywhere.  The filter is
+    applied before the search.  A task holds CHUNK bytes of vectors, MATRIX bytes of scores, KEPT bytes of blocks
+    and a number for each distinct vector of the queries.
 
     Rows without an id or a vector, and vectors with a null, NaN or infinity in them, are not searched; queries
     without such a vector are not answered; vectors of different lengths are never compared.  All sums are in double
@@ -169,11 +199,13 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 50, where: Column |
     """
     queries = queries.where(F.col("vector").isNotNull())
     pool = searchable(corpus, where).select("id", "vector")
-    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", pool.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    # Numbers made from partition ids are fixed by writing them.
+    asked = materialize(queries.select("vector").distinct().withColumn("qid", F.monotonically_increasing_id()), "asked")
+    schema = T.StructType([T.StructField("asked", T.LongType()), T.StructField("id", pool.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     kinds = to_arrow_schema(schema)
-    blocks, matrix = query_blocks(queries, block=block), MATRIX
+    blocks, matrix = query_blocks(asked, block=block), MATRIX
 
-    def compare(ids: pa.Array, column: pa.Array) -> Iterator[pa.RecordBatch]:
+    def compare(ids: pa.Array, column: pa.Array, lows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         order = pc.sort_indices(ids)
         ids, column = ids.take(order), column.take(order)
         for size, (rows, x) in vectors_of(column).items():
@@ -184,22 +216,25 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 50, where: Column |
             for path, length, _ in blocks:
                 if length == size:
                     names, q, _ = held_block(path)
-                    who, row, score = _best(q, x, k, matrix)
+                    who, row, score = _best(q, x, k, matrix, lows.setdefault(path, np.full(len(q), -np.inf)))
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(who)).cast(kinds.field(0).type), ids.take(pa.array(rows[row])).cast(kinds.field(1).type), pa.array(score)], kinds.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, lows = [], 0, {}
         for batch in batches:
             held.append(batch)
             size += 8 * len(batch.column(1).flatten())
             if size >= CHUNK:
-                yield from compare(pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(1) for b in held]))
+                yield from compare(pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(1) for b in held]), lows)
                 held, size = [], 0
         if held:
-            yield from compare(pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(1) for b in held]))
+            yield from compare(pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(1) for b in held]), lows)
 
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return pool.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = lambda df, by: df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    found = best(pool.mapInArrow(run, schema), "asked").drop("rank")
+    named = queries.select("qid", "vector").join(asked.withColumnRenamed("qid", "asked"), "vector").select("qid", "asked")
+    # Rows that share a qid are one query.
+    return best(named.join(found, "asked").select("qid", "id", "score"), "qid")
 
 
 def coarse_lists(corpus: DataFrame, lists: int = 64, sample: int = 50_000, rounds: int = 8, seed: int = 3) -> np.ndarray:

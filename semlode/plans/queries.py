@@ -406,7 +406,9 @@ def extract_source(spark, d):
 def embed_rerank(spark, d):
     """Texts through the stand-in models: embed, search, rerank."""
     embed = models.hashed_embedder(64)
-    docs = embed(S.packages(spark, d), "document").withColumn("id", F.col("name"))
+    # Dealt before it is embedded, however few files the tables have; written, as it is searched and joined.
+    dealt = S.packages(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
+    docs = materialize(embed(dealt, "document").withColumn("id", F.col("name")).drop("document"), "embedded")
     queries = embed(S.query_vectors(spark, d).select("qid", "query"), "query")
     found = search.search(queries, docs, as_of(), use_rerank=True, scorer=models.overlap_scorer)
     return found.select("qid", "id", "place", six(F.col("final"), "final"))

@@ -60,3 +60,38 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "id long, vector array<float>")
     one = spark.createDataFrame([(1, [1.0])], "qid long, vector array<float>")
     assert search.nearest(one.limit(0), one.select(F.col("qid").alias("id"), "vector")).count() == 0
+
+
+def test_rows_of_one_score_have_a_bound():
+    """Every row has the same score for every query: only some pairs are looked at together, and the first rows win."""
+    import tracemalloc
+
+    x, q = np.zeros((8_000, 16)), np.zeros((100, 16))
+    x[:, 0], x[:, 1:] = 0.5, np.random.default_rng(5).normal(size=(8_000, 15))
+    q[:, 0] = np.arange(1, 101)
+    tracemalloc.start()
+    who, row, score = search._best(q, x, 10, 8 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(row.reshape(100, 10), np.tile(np.arange(10), (100, 1))) and np.array_equal(score, np.repeat(np.arange(1, 101) * 0.5, 10))
+    assert peak < 50 << 20
+
+
+def test_low_of_rows_seen_before():
+    """Rows below what k rows before have reached are left out; those that equal it stay, as their ids may be smaller."""
+    x, q, low = np.array([[3.0], [2.0], [1.0], [2.0]]), np.ones((1, 1)), np.full(1, -np.inf)
+    assert search._best(q, x, 2, 1 << 20, low)[1].tolist() == [0, 1] and low.tolist() == [2.0]
+    assert search._best(q, np.array([[1.0], [2.0], [0.5]]), 2, 1 << 20, low)[1].tolist() == [1]
+
+
+def test_equal_queries_are_compared_once(spark, monkeypatch):
+    """Queries of one vector share its comparisons, and rows that share a qid are one query."""
+    seen, blocks = [], search.query_blocks
+    monkeypatch.setattr(search, "query_blocks", lambda q, *a, **k: seen.append(q.count()) or blocks(q, *a, **k))
+    corpus = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(40)], "id long, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(10)] + [(None, [1.0, 1.0]), (3, [1.0, 1.0])], "qid long, vector array<double>")
+    got = search.nearest(queries, corpus, 3).orderBy("qid", "rank").collect()
+    want = {0: [0, 1, 2], 1: [4, 9, 14]}
+    assert seen == [2]
+    assert [r["id"] for r in got if r["qid"] is None] == want[1] and [r["id"] for r in got if r["qid"] == 3] == [4, 4, 9]
+    assert all([r["id"] for r in got if r["qid"] == i] == want[i % 2] for i in range(10) if i != 3)
