@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 #: White space as Python has it: Unicode's, and U+001C to U+001F.
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 NAMESPACE_DNS = "6ba7b8109dad11d180b400c04fd430c8"
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def fold(x: Column) -> Column:

@@ -570,7 +570,9 @@ def answer_constraints(spark, d):
     item = lambda i: F.struct(F.when((k != 7) | (i > 1), F.lit("p")).alias("package"), F.repeat(F.lit("r"), F.when(k == 5, 801).when((k == 6) & (i == 1), 0).otherwise(800)).alias("reason"), F.repeat(F.lit("q"), F.when((k == 4) & (i == 1), 401).otherwise(400)).alias("cited_snippet"))
     many = F.when(k < 3, k + 1).when(k == 3, 4).otherwise(2).cast("int")
     body = F.to_json(F.struct(F.transform(F.sequence(F.lit(1), many), item).alias("recommendations")))
-    raw = S.table(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.when(k == 8, F.substring(body, 1, 50)).otherwise(body).alias("raw"))
+    # Keys are dealt before texts are made of them: the table has few files, and its texts are some hundred times its size.
+    dealt = S.table(spark, d, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    raw = dealt.select(F.col("c_custkey").alias("qid"), F.when(k == 8, F.substring(body, 1, 50)).otherwise(body).alias("raw"))
     return rag.parse_answers(raw).select("qid", F.size("recommendations").cast("bigint").alias("n"), "parse_error")
 
 

@@ -116,3 +116,23 @@ def test_requests():
         with pytest.raises(ValueError):
             check_request(query, limit)
     assert api_url("http://a/") == "http://a" and api_url(None, {"SEMLODE_API_URL": " http://b/ "}) == "http://b" and api_url(None, {}) == "http://localhost:8080"
+
+
+def test_stripped_as_python_does(spark):
+    """All that Python strips at the ends, and no more."""
+    from pyspark.sql import functions as F
+    from semlode.functions import text as X
+
+    cases = [(chr(i) + "a" + chr(i) + "b" + chr(i),) for i in range(0x3100)] + [(None,), ("",), (" \n\x1c",), ("　 x\n\r\n",), ("\U0001f600 ",)]
+    got = spark.createDataFrame(cases, "t string").select("t", X.strip(F.col("t")).alias("s")).collect()
+    assert all(r["s"] == (None if r["t"] is None else r["t"].strip()) for r in got)
+
+
+def test_an_answer_is_parsed_once(spark):
+    """The plan strips a text once and parses it once for its fields and once for its validity."""
+    from semlode.operators import rag
+
+    raw = spark.range(3).selectExpr("id AS qid", "concat('x', id) AS raw")
+    plan = rag.parse_answers(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") + plan.count("jsontostructs") == 1
+    assert plan.lower().count("parse_json") + plan.count("parseJson") == 1
