@@ -21,9 +21,9 @@ from ..functions import text as X
 from ..sources.shared import get_file, materialize, new_path, put_file
 
 #: Queries of a block, and bytes of vectors that a task compares with the blocks at a time.
-BLOCK, CHUNK = 2_000, 32 << 20
-#: Bytes of the scores of one block that a task has at a time, and of query blocks that a worker keeps.
-MATRIX, KEPT = 32 << 20, 128 << 20
+BLOCK, CHUNK = 2_000, 8 << 20
+#: Bytes of the scores of one block that a task has at a time (SCORES: of the exact search, MATRIX: of the index), and of query blocks that a worker keeps.
+SCORES, MATRIX, KEPT = 8 << 20, 32 << 20, 16 << 20
 #: Pairs of a query and a row whose scores are summed before the best of them are chosen.
 CANDIDATES = 200_000
 
@@ -57,9 +57,9 @@ def vectors_of(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     first, out = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), {}
     for size in np.unique(sizes):
         rows = np.flatnonzero(sizes == size)
-        x = flat[first[rows][:, None] + np.arange(int(size))]
+        x = flat.reshape(len(rows), int(size)) if len(rows) == len(sizes) else flat[first[rows][:, None] + np.arange(int(size))]
         whole = np.isfinite(x).all(axis=1)
-        out[int(size)] = rows[whole], x[whole]
+        out[int(size)] = (rows, x) if whole.all() else (rows[whole], x[whole])
     return out
 
 
@@ -190,7 +190,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 50, where: Column |
     vectors, a bounded chunk at a time, with one block after the other by matrix products and passes on k rows a
     vector and chunk at most, none below what k rows of its chunks before have reached; queries get the rows
     of their vectors by a join.  The corpus is read once and never shuffled, nor sent anywhere.  The filter is
-    applied before the search.  A task holds CHUNK bytes of vectors, MATRIX bytes of scores, KEPT bytes of blocks
+    applied before the search.  A task holds CHUNK bytes of vectors, SCORES bytes of scores, KEPT bytes of blocks
     and a number for each distinct vector of the queries.
 
     Rows without an id or a vector, and vectors with a null, NaN or infinity in them, are not searched; queries
@@ -203,14 +203,15 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 50, where: Column |
     asked = materialize(queries.select("vector").distinct().withColumn("qid", F.monotonically_increasing_id()), "asked")
     schema = T.StructType([T.StructField("asked", T.LongType()), T.StructField("id", pool.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     kinds = to_arrow_schema(schema)
-    blocks, matrix = query_blocks(asked, block=block), MATRIX
+    blocks, matrix = query_blocks(asked, block=block), SCORES
 
     def compare(ids: pa.Array, column: pa.Array, lows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         order = pc.sort_indices(ids)
         ids, column = ids.take(order), column.take(order)
         for size, (rows, x) in vectors_of(column).items():
             kept = _first_copies(x, k) if size and len(x) else np.arange(0)
-            rows, x = rows[kept], x[kept]
+            if len(kept) < len(rows):
+                rows, x = rows[kept], x[kept]
             if not len(rows):
                 continue
             for path, length, _ in blocks:

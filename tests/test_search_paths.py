@@ -95,3 +95,19 @@ def test_equal_queries_are_compared_once(spark, monkeypatch):
     assert seen == [2]
     assert [r["id"] for r in got if r["qid"] is None] == want[1] and [r["id"] for r in got if r["qid"] == 3] == [4, 4, 9]
     assert all([r["id"] for r in got if r["qid"] == i] == want[i % 2] for i in range(10) if i != 3)
+
+
+def test_vectors_of_one_length_are_not_copied_again():
+    """A column of vectors of one length becomes a matrix of doubles without a second one."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = np.random.default_rng(6).normal(size=(40_000, 64)).astype(np.float32)
+    column = pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * 40_001, 64), pa.int32()), pa.array(x.ravel()))
+    tracemalloc.start()
+    rows_, matrix = search.vectors_of(column)[64]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(matrix, x.astype(np.float64)) and len(rows_) == 40_000
+    assert peak < 1.5 * matrix.nbytes
